@@ -28,7 +28,7 @@ from strataflow.llm.common import with_made_column
 FIRST_LETTER = 0x100
 _SPELL = {b: chr(FIRST_LETTER + b) for b in range(256)}
 #: Encoded pre-tokens that a worker remembers, and the longest that it does.
-CACHED, CACHED_LENGTH = 500_000, 48
+CACHED, CACHED_LENGTH = 300_000, 48
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -100,12 +100,11 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Codec:
-    """Encodes and decodes lists of texts; a worker keeps one. Ids are held as packed 32-bit integers."""
+    """Encodes lists of texts; a worker keeps one. Ids are held as packed 32-bit integers."""
 
     def __init__(self, vocabulary: list[bytes], pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(vocabulary))
         self.whole = {t: struct.pack("=i", i) for i, t in enumerate(vocabulary)}
-        self.tokens = pa.array(vocabulary, pa.large_binary())
         self.split = splitter(pattern)
         self.known: dict[str, bytes] = {}
 
@@ -136,12 +135,14 @@ class Codec:
         flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
         return pa.LargeListArray.from_arrays(pa.array(ends), flat).cast(pa.list_(pa.int32()))
 
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
-        out = []
-        for x in ids:
-            taken = self.tokens.take(x.values) if x.is_valid and len(x.values) else None
-            out.append(taken.buffers()[2].to_pybytes()[: len_of(taken)] if taken else b"")
-        return out
+
+def decoded(tokens: pa.LargeBinaryArray, ids: pa.ListArray) -> list[bytes]:
+    """The bytes of each list of ids, taken from the vocabulary's tokens."""
+    out = []
+    for x in ids:
+        taken = tokens.take(x.values) if x.is_valid and len(x.values) else None
+        out.append(taken.buffers()[2].to_pybytes()[: len_of(taken)] if taken else b"")
+    return out
 
 
 def len_of(tokens: pa.LargeBinaryArray) -> int:
@@ -153,6 +154,11 @@ def _codec(vocabulary: tuple[bytes, ...], pattern: str) -> Codec:
     return Codec(list(vocabulary), pattern)
 
 
+@lru_cache(maxsize=2)
+def _tokens(vocabulary: tuple[bytes, ...]) -> pa.LargeBinaryArray:
+    return pa.array(vocabulary, pa.large_binary())
+
+
 def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids array<int>: the token ids of each whole text. The vocabulary is broadcast; its size is fixed."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
@@ -168,7 +174,7 @@ def decode(df: DataFrame, vocabulary: list[bytes], ids: str = "ids", data: str =
     shared = df.sparkSession.sparkContext.broadcast(tuple(vocabulary))
 
     def each(column: pa.Array) -> pa.Array:
-        return pa.array(_codec(shared.value, "").decode(column), pa.binary())
+        return pa.array(decoded(_tokens(shared.value), column), pa.binary())
 
     return with_made_column(df, data, "binary", ids, each)
 
