@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialise, small_enough, with_made_column
+from strataflow.llm import similar
+from strataflow.llm.common import broadcast_if_small, materialise, slices, with_made_column
 from strataflow.llm.components import components
 
 SEED = 42
@@ -70,7 +71,10 @@ def golay_keys(fingerprints: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return fingerprint_of((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
+
+
+def fingerprint_of(words: list[bytes], shingle: int = 3) -> int:
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
@@ -133,17 +137,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(of.join(least, "root").select("f", "component_id"), "f")
 
 
+def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """__id, __digest (of the text) and component for each row of docs, where texts are linked if their fingerprints
+    differ in at most two bits or their five-word shingles reach the similarity of similar.SIMILARITY.
+
+    Fingerprints of 64 bits differ in about ten bits at that similarity, which Golay keys cannot search selectively;
+    bands of MinHash find those pairs, see similar.py. Nodes are different shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = []
+                for t in part.column("text").to_pylist():
+                    words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                    made.append((fingerprint_of(words, shingle), *similar.sketch(words)))
+                f, s = (pa.array(np.array([m[i] for m in made], np.uint64).view(np.int64)) for i in (0, 1))
+                bands = pa.array([m[3] for m in made], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__digest"), f, s, pa.array([m[2] for m in made], pa.int64()), bands], names=["__id", "__digest", "f", "s", "n", "bands"])
+
+    source = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__digest"), "text")
+    kind = source.schema["__id"].dataType.simpleString()
+    rows = materialise(source.mapInArrow(run, f"__id {kind}, __digest bigint, f bigint, s bigint, n bigint, bands array<bigint>"), "sketches")
+    one = rows.groupBy("s").agg(F.min(F.struct("__id", "__digest", "n", "bands")).alias("r"))
+    nodes = materialise(one.select("s", "r.*"), "nodes")
+    owners = materialise(rows.groupBy("f").agg(F.min("s").alias("owner")), "fingerprint-owners")
+    same = rows.select("f", "s").distinct().join(owners, "f").where("s <> owner").select(F.col("s").alias("a"), F.col("owner").alias("b"))
+    close = links(owners.select("f")).join(owners.select(F.col("f").alias("a"), F.col("owner").alias("__a")), "a").join(owners.select(F.col("f").alias("b"), F.col("owner").alias("__b")), "b")
+    found = similar.links(nodes, docs, same.union(close.select(F.col("__a").alias("a"), F.col("__b").alias("b"))))
+    roots = components(found, "a", "b").withColumnRenamed("node", "s")
+    return rows.select("__id", "__digest", "s").join(roots, "s", "left").select("__id", "__digest", F.coalesce("root", "s").alias("component"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs with one row of each group left: the one with the smallest doc_id, with all its columns."""
-    found = materialise(near_duplicates(docs, shingle).select("doc_id", "f", "component_id"), "near-duplicates")
-    out = docs
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    hint = F.broadcast(gone) if small_enough(gone, MOST_BROADCAST) else gone
-    out = out.join(hint, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    # Rows that share an id: one stays of those with equal texts.
-    return out.dropDuplicates(["doc_id", "text"])
+    """docs with one row of each group of similar_groups left: the one with the smallest doc_id (nulls last; of rows
+    that share it the one with the smallest digest of its text), with all its columns."""
+    found = materialise(similar_groups(docs, shingle), "near-duplicates")
+    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__digest"))
+    kept = found.groupBy("component").agg(F.min(order).alias("__first"), F.count("*").alias("__n"))
+    groups = materialise(kept.where("__n > 1").select("component", "__first"), "groups")
+    marked = found.join(groups, "component").where(order != F.col("__first")).select(F.col("__id").alias("__i"), F.col("__digest").alias("__d")).distinct()
+    gone = broadcast_if_small(materialise(marked, "duplicates"), MOST_BROADCAST)
+    keyed = docs.withColumn("__digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")), "left_anti")
+    if not found.groupBy("__id", "__digest").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__digest"])  # repeated rows: one of them stays
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
