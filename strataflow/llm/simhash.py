@@ -71,20 +71,27 @@ def golay_keys(fingerprints: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    return fingerprint_of((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
+    return majority(gram_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle))
 
 
-def fingerprint_of(words: list[bytes], shingle: int = 3) -> int:
+def gram_hashes(words: list[bytes], shingle: int = 3) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included; of the whole sequence if it is shorter."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # so that memory does not follow the longest text
-        part = words[at : min(n, at + (1 << 16)) + shingle - 1]
-        grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False)) if len(part) >= shingle else [b" ".join(part)]
-        hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    for at in range(0, len(hashes), 1 << 16):  # so that memory does not follow the longest text
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", name: str = "fingerprint") -> DataFrame:
@@ -137,7 +144,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(of.join(least, "root").select("f", "component_id"), "f")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame) -> DataFrame:
     """__id, __digest (of the text) and component for each row of docs, where texts are linked if their fingerprints
     differ in at most two bits or their five-word shingles reach the similarity of similar.SIMILARITY.
 
@@ -149,8 +156,8 @@ def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
             for part in slices(batch, "text"):
                 made = []
                 for t in part.column("text").to_pylist():
-                    words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                    made.append((fingerprint_of(words, shingle), *similar.sketch(words)))
+                    hashes = gram_hashes((t or "").encode("utf-8", "surrogatepass").lower().split())
+                    made.append((majority(hashes), *similar.sketch(hashes)))
                 f, s = (pa.array(np.array([m[i] for m in made], np.uint64).view(np.int64)) for i in (0, 1))
                 bands = pa.array([m[3] for m in made], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__digest"), f, s, pa.array([m[2] for m in made], pa.int64()), bands], names=["__id", "__digest", "f", "s", "n", "bands"])
@@ -163,15 +170,14 @@ def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     owners = materialise(rows.groupBy("f").agg(F.min("s").alias("owner")), "fingerprint-owners")
     same = rows.select("f", "s").distinct().join(owners, "f").where("s <> owner").select(F.col("s").alias("a"), F.col("owner").alias("b"))
     close = links(owners.select("f")).join(owners.select(F.col("f").alias("a"), F.col("owner").alias("__a")), "a").join(owners.select(F.col("f").alias("b"), F.col("owner").alias("__b")), "b")
-    found = similar.links(nodes, docs, same.union(close.select(F.col("__a").alias("a"), F.col("__b").alias("b"))))
-    roots = components(found, "a", "b").withColumnRenamed("node", "s")
-    return rows.select("__id", "__digest", "s").join(roots, "s", "left").select("__id", "__digest", F.coalesce("root", "s").alias("component"))
+    roots = similar.groups(nodes, docs, same.union(close.select(F.col("__a").alias("a"), F.col("__b").alias("b"))))
+    return rows.select("__id", "__digest", "s").join(roots.withColumnRenamed("node", "s"), "s", "left").select("__id", "__digest", F.coalesce("root", "s").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of similar_groups left: the one with the smallest doc_id (nulls last; of rows
     that share it the one with the smallest digest of its text), with all its columns."""
-    found = materialise(similar_groups(docs, shingle), "near-duplicates")
+    found = materialise(similar_groups(docs), "near-duplicates")
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__digest"))
     kept = found.groupBy("component").agg(F.min(order).alias("__first"), F.count("*").alias("__n"))
     groups = materialise(kept.where("__n > 1").select("component", "__first"), "groups")

@@ -5,8 +5,8 @@ probability 1 - (1 - 0.8 ** 6) ** 24 > 0.999. Texts with equal sets are one node
 
 A band's bucket is never paired off as a whole. In each round some members lead, and every member of the bucket in
 another component is verified against them; links join components, and a bucket is closed once it lies in one
-component or each member outside its largest component has led. Rounds double the leaders, so their number grows with
-the logarithm of the unlinked members. No bucket is capped.
+component or each member outside its largest component has led. LEADERS says how many
+lead in a round. No bucket is capped.
 
 Words are runs of other characters than space and \\t to \\r, A-Z in lower case. Texts with fewer words than a shingle are
 one shingle; texts without words (null, empty) have no bands and no links.
@@ -14,6 +14,8 @@ one shingle; texts without words (null, empty) have no bands and no links.
 
 from __future__ import annotations
 
+from itertools import chain, repeat
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,14 +26,15 @@ from strataflow.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
+#: Leaders of a bucket by round; the last number holds on.
+LEADERS = (1, 8, 64)
 SEED = 7
 #: Nodes (40 bytes each) up to which they are broadcast to the scan of the texts.
 MOST_NODES = 500_000
 _RANDOM = np.random.default_rng(SEED)
-MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-#: One odd factor for each word of a shingle.
-PLACES = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLY = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32)
+PLACES = _RANDOM.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
 BAND = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -42,26 +45,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """The sorted different hashes of a text's shingles."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1) if words else 0
-    sums = np.full(n, np.uint64(min(width, len(words))))
-    for k in range(min(width, len(words))):
-        sums += hashes[k : k + n] * PLACES[k]
-    return np.unique(_mixed(sums))
+def shingle_set(grams: np.ndarray) -> np.ndarray:
+    """The sorted different hashes of a text's five-word shingles, from the hashes of its three-word ones in order: the
+    first and the third of three neighbours hold the five words. Texts of fewer words have one."""
+    if len(grams) < 3:
+        return np.full(min(1, len(grams)), _mixed(grams * PLACES[: len(grams)]).sum(dtype=np.uint64))
+    return np.unique(_mixed(grams[:-2] * PLACES[0] + grams[2:] * PLACES[1]))
 
 
-def sketch(words: list[bytes], width: int = SHINGLE) -> tuple[int, int, list[int]]:
+def sketch(grams: np.ndarray) -> tuple[int, int, list[int]]:
     """A digest of the shingle set, its size, and a hash for each band (none without words)."""
-    found = shingle_set(words, width)
+    found = shingle_set(grams)
     digest = xxhash.xxh64_intdigest(found.tobytes())
     if not len(found):
         return digest, 0, []
-    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(found), 1024):  # memory does not follow the longest text
-        least = np.minimum(least, (found[at : at + 1024, None] * MULTIPLY + ADD).min(0))
-    bands = _mixed((_mixed(least).reshape(BANDS, ROWS) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    high = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(high), 512):  # memory does not follow the longest text
+        moved = MULTIPLY[:, None] * high[None, at : at + 512]
+        moved += ADD[:, None]
+        np.minimum(least, moved.min(1), out=least)
+    bands = _mixed((_mixed(least.astype(np.uint64)).reshape(BANDS, ROWS) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
     return digest, len(found), bands.view(np.int64).tolist()
 
 
@@ -90,16 +94,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     return pairs.join(right, "b").join(left, "a").where(both >= least * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
-def links(nodes: DataFrame, docs: DataFrame, known: DataFrame, width: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """known and further links (a, b) that connect nodes whose texts are similar. nodes: s, n (size of the set), bands,
-    __id and __digest, one row each; known: links that hold already."""
+def groups(nodes: DataFrame, docs: DataFrame, known: DataFrame, width: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """node and root (the smallest node of its group) for each node that has a link, where links are those known and
+    those of nodes whose texts are similar. nodes: s, n (size of the set), bands,
+    __id and __digest, one row each; known: links (a, b)."""
     banded = nodes.select("s", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     rows = materialise(banded.join(shared, "key"), "bands")
     texts = nodes.select("s", "__id", "__digest")
-    found, led, leaders = materialise(known, "known-links"), None, 1
-    while True:
-        roots = components(found, "a", "b")
+    roots, led = components(known, "a", "b"), None
+    for leaders in chain(LEADERS, repeat(LEADERS[-1])):
         placed = rows.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
         split = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main"))
         rows = materialise(placed.join(split.where("parts > 1"), "key").select("key", "s", "n", "root", "main"), "open-bands")
@@ -110,13 +114,14 @@ def links(nodes: DataFrame, docs: DataFrame, known: DataFrame, width: int = SHIN
         chosen = pool.groupBy("key").agg(*(F.min_by(F.struct("s", "n", "root"), F.xxhash64(F.lit(j), "s")).alias(f"l{j}") for j in range(leaders)))
         lead = materialise(chosen.select("key", F.explode(F.array_distinct(F.array(*(f"l{j}" for j in range(leaders))))).alias("l")).select("key", "l.*"), "leaders")
         if lead.isEmpty():
-            return found
+            return roots
         x, y = rows.alias("x"), lead.alias("y")
         alike = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike)
         pairs = materialise(pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            found = materialise(found.union(verified(pairs, texts, docs, width, least)), "found-links")
+        found = materialise(verified(pairs, texts, docs, width, least), "found-links")
+        if not found.isEmpty():
+            roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
         done = lead.select("key", "s")
         led = materialise(done if led is None else led.union(done), "led")
-        rows, leaders = rows.select("s", "n", "key"), min(2 * leaders, 64)
+        rows = rows.select("s", "n", "key")

@@ -51,4 +51,4 @@ def test_empty_table(spark):
 def test_sets_of_both_paths_have_one_size(spark):
     texts = ["a b c d e f a b c d e", "A b", "x " * 100, " lead and trail ", "one two three four five"]
     got = [x.n for x in frame(spark, list(enumerate(texts)), "i int, t string").orderBy("i").select(F.size(similar.sets(F.col("t"))).alias("n")).collect()]
-    assert got == [len(shingles(t)) for t in texts] == [similar.sketch(t.lower().encode().split())[1] for t in texts]
+    assert got == [len(shingles(t)) for t in texts] == [similar.sketch(simhash.gram_hashes(t.lower().encode().split()))[1] for t in texts]
