@@ -39,7 +39,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_masking", secret_masking), ("byte_bpe", byte_bpe)]
 
-#: Tokenising cannot be said in SQL; tests/llm/test_pipeline.py holds run() against a plain version.
+#: Tokenising cannot be said in SQL; tests/llm holds the stages' operators against plain versions; of run() itself only the ids and how many stay are tested.
 ORACLE_SQL = None
 
 
