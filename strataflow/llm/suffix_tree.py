@@ -7,11 +7,12 @@ smoothed by absolute discounting into the suffix's distribution, down to the add
 word takes its class's probability times its share of the class under the root. A text is scored symbol by symbol in
 the state of the longest suffix that the tree holds.
 
-All counts come from all training rows. Frequent means a share of SHARE of the training tokens and at least
-LEAST_COUNT: by their shares, words, contexts and (context, symbol) pairs kept number at most 1 / SHARE each, which
-bounds what is broadcast. Counts of all words stay distributed; rare words meet them in a join, summed up per text
-first. Held-out rows are those whose crc32(doc_id as text) is a multiple of ten (a null id counts as the empty text).
-Null texts hold the end only.
+All counts come from all training rows. Frequent means at least LEAST_COUNT, at every size: words, contexts and
+(context, symbol) pairs kept grow with the input and stay in tables. Only the HEAD most frequent words are broadcast,
+which saves joins and changes no result; other words get their numbers in a join. To be scored, symbols go to the bucket
+of the last symbol of their context, where the part of the tree with that suffix goes too; symbols that follow a hot
+word are dealt over several buckets, each with that part. Held-out rows are those whose crc32(doc_id as text) is a
+multiple of ten (a null id counts as the empty text). Null texts hold the end only.
 """
 
 from __future__ import annotations
@@ -27,13 +28,19 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.common import materialise, slices
 
-SHARE, LEAST_COUNT = 1e-6, 4
+LEAST_COUNT = 4
 DISCOUNT, THRESHOLD = 0.75, 8.0
 SMOOTHING = 0.1
 #: Symbols: 0 is the class of rare words, 1 the end, 2 the start; frequent words follow.
 RARE, END, START, FIRST = 0, 1, 2, 3
 #: Different keys that a task counts before it hands them on.
 HELD = 400_000
+#: Texts whose symbols a task handles at once.
+ROWS = 500
+#: Words that are broadcast with their numbers; symbols a bucket holds when scored.
+HEAD, BUCKET = 200_000, 700_000
+#: Symbols fit into so many bits, two of them into a key.
+BITS = 31
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -68,35 +75,72 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
 
 
-def encoded(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """doc_id, held_out, ids (one symbol per token), rare (the different rare words with their numbers)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    cache: dict = {}
+def numbered(counts: DataFrame) -> DataFrame:
+    """word, c and symbol of the frequent words; symbols are numbered without gaps."""
+    frequent = counts.where((F.col("word") != "") & (F.col("c") >= LEAST_COUNT))
+    rows = materialise(frequent.select("word", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "frequent-words")
+    start, offsets = FIRST, []
+    for r in rows.groupBy("part").count().orderBy("part").collect():
+        offsets += [F.lit(r["part"]), F.lit(start).cast("bigint")]
+        start += r["count"]
+    if start >= 1 << BITS:
+        raise OverflowError(f"{start} symbols need more than {BITS} bits")
+    first = F.element_at(F.create_map(*offsets), F.col("part")) if offsets else F.lit(0).cast("bigint")
+    return rows.select("word", "c", (first + F.col("at")).alias("symbol"))
+
+
+def encoded(docs: DataFrame, words_in: DataFrame, counts: DataFrame, total: float, end: float) -> DataFrame:
+    """row (a number of its own, as ids may repeat), doc_id, held_out, ids (one symbol per token), n_known and base_score.
+    Words out of the broadcast head are numbered for each text, and meet their counts in a join."""
+    head = words_in.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    places = {w.encode(): i + 1 for i, w in enumerate(head.column("word").to_pylist())}
+    logs = np.log10((head.column("c").to_numpy() + SMOOTHING) / total)
+    shared = docs.sparkSession.sparkContext.broadcast((places, head.column("symbol").to_numpy().astype(np.int32), logs))
+    end_log = float(np.log10((end + SMOOTHING) / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = cache.setdefault("number", {w: i + FIRST for i, w in enumerate(shared.value)})
-        get = number.get
+        places, symbols, logs = shared.value
+        get = places.get
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, ends, rare, times, rare_ends = [], [0], [], [], [0]
+                flat, ends, base, tail, times, tail_ends = [], [0], [], [], [], [0]
                 for t in part.column("text").to_pylist():
                     w = words(t)
-                    ids = [get(x, RARE) for x in w]
-                    if RARE in ids:
-                        c = Counter(x for x, i in zip(w, ids, strict=True) if not i)
-                        rare += c.keys()
+                    at = [get(x, 0) for x in w]
+                    if 0 in at:
+                        c = Counter(x for x, i in zip(w, at, strict=True) if not i)
+                        number = {x: -1 - k for k, x in enumerate(c)}
+                        at = [i or number[x] for x, i in zip(w, at, strict=True)]
+                        tail += c.keys()
                         times += c.values()
-                    rare_ends.append(len(rare))
-                    ids.append(END)
-                    flat.append(np.array(ids, np.int32))
+                    tail_ends.append(len(tail))
+                    ids = np.array([*at, 0], np.int32)
+                    known = ids > 0
+                    places_of = ids[known] - 1
+                    ids[known] = symbols[places_of]
+                    ids[-1] = END
+                    base.append(float(logs[places_of].sum()) + end_log)
+                    flat.append(ids)
                     ends.append(ends[-1] + len(ids))
-                structs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), structs)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *lists], names=["doc_id", "held_out", "ids", "rare"])
+                structs = pa.StructArray.from_arrays([pa.array(tail, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), structs)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], names=["doc_id", "held_out", "ids", "base", "tail"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, ids array<int>, rare array<struct<word:string,n:int>>")
+    made = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, ids array<int>, base double, tail array<struct<word:string,n:int>>")
+    made = materialise(made.withColumn("row", F.monotonically_increasing_id()), "encoded-texts")
+    tail = made.select("row", F.posexplode("tail").alias("k", "t")).select("row", "k", "t.word", "t.n")
+    met = tail.join(counts, "word", "left").join(words_in.select("word", "symbol"), "word", "left")
+    c = F.coalesce("c", F.lit(0))
+    sums = met.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("k", F.coalesce("symbol", F.lit(RARE)).cast("int").alias("symbol"))))["symbol"].alias("symbols"),
+        F.sum(F.col("n") * F.log10((c + SMOOTHING) / F.lit(total))).alias("log"),
+        F.sum(F.when(c > 0, 0).otherwise(F.col("n"))).alias("unknown"),
+    )
+    ids = F.when(F.col("symbols").isNull(), F.col("ids")).otherwise(F.transform("ids", lambda x: F.when(x >= 0, x).otherwise(F.get("symbols", -x - 1))))
+    known = F.size("ids") - F.coalesce("unknown", F.lit(0)) - (0 if end else 1)
+    return materialise(made.join(sums, "row", "left").select("row", "doc_id", "held_out", ids.alias("ids"), known.cast("long").alias("n_known"), (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score")), "symbols-of-texts")
 
 
 def _positions(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,32 +156,30 @@ def _positions(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _counted(rows: DataFrame, keys_of) -> DataFrame:
-    """Counts of integer keys made from batches of ids, pre-aggregated in each task in runs of bounded size."""
+    """Counts n of (context, symbol) made from batches of ids, pre-aggregated in each task in runs of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held or [np.empty(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+            context = np.concatenate([x[0] for x in held] or [np.empty(0, np.int64)])
+            symbol = np.concatenate([x[1] for x in held] or [np.empty(0, np.int64)])
+            order = np.lexsort((symbol, context))
+            context, symbol = context[order], symbol[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(context)), bool), (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
+            n = np.diff(np.append(first, len(context)))
+            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["context", "symbol", "n"])
 
         for batch in batches:
-            held.append(keys_of(batch.column("ids")))
-            size += len(held[-1])
-            if size > 20 * HELD:
-                yield out()
-                held, size = [], 0
+            for start in range(0, batch.num_rows, ROWS):
+                held.append(keys_of(batch.slice(start, ROWS).column("ids")))
+                size += len(held[-1][0])
+                if size > 5 * HELD:
+                    yield out()
+                    held, size = [], 0
         yield out()
 
-    return rows.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _collected(df: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys whose count reaches least, sorted, and their counts; at most all tokens / least rows."""
-    found = df.where(F.col("n") >= least).toArrow()
-    keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order].astype(np.float64)
+    return rows.select("ids").mapInArrow(run, "context bigint, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +190,9 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+# The tree in memory: what the tables hold, for small inputs and for the tests.
+
+
 @dataclass
 class Level:
     """Retained states of one length: context keys with the weight of the suffix's distribution, and (context, symbol)
@@ -207,107 +252,168 @@ def _kept(level: Level, keep: np.ndarray, size: int) -> Level:
     return Level(level.contexts[keep], level.back[keep], pairs[order], share[order])
 
 
-def grow(training: DataFrame, root: np.ndarray, least: float, threshold: float = THRESHOLD) -> Tree:
-    """The tree for training rows of ids. Contexts never hold the class of rare words, which says too little."""
-    size = len(root)
-    tree = Tree(size, root, [])
+def _states(pairs: DataFrame, totals: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The level of candidate pairs (context, symbol, n, below, root): their shares, and of contexts the weight back of
+    the suffix's distribution and whether they diverge from it. Contexts without a pair do not differ from it."""
+    sums = pairs.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("held")).join(totals, "context")
+    sums = sums.select("context", "total", (1 - F.col("held") / F.col("total")).alias("back"))
+    shares = pairs.join(sums, "context").withColumn("share", (F.col("n") - DISCOUNT) / F.col("total"))
+    p = F.col("share") + F.col("back") * F.col("below")
+    gains = shares.groupBy("context", "total", "back").agg(F.sum(p * F.log(p / F.col("below"))).alias("gain"), (1 - F.sum("below")).alias("rest"))
+    gain = F.col("gain") + F.greatest(F.col("back") * F.col("rest"), F.lit(0.0)) * F.log(F.greatest(F.col("back"), F.lit(1e-300)))
+    return shares, gains.select("context", "total", "back", (F.col("total") * gain >= threshold).alias("passed"))
 
-    def pairs_of(column: pa.ListArray) -> np.ndarray:
-        ids, one, _, _ = _positions(column)
-        return (one * size + ids)[one != RARE]
 
-    table = materialise(_counted(training, pairs_of), "pst-pairs")
-    totals = table.groupBy(F.floor(F.col("key") / size).cast("bigint").alias("key")).agg(F.sum("n").alias("n"))
-    contexts, n = _collected(totals, least)
-    first, passed_one = _level(tree, contexts, n, *_collected(table, least), 1, threshold)
+def grow(training: DataFrame, root: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The tree for training rows of ids, and the totals of contexts of one symbol. Tree rows are one (the last symbol of
+    the context), two, symbol and value: the weight of the suffix's distribution in a retained state if symbol is null,
+    else the share of a symbol there over its probability under the root; two is null in contexts of one symbol.
+    Contexts never hold the class of rare words, which says too little."""
 
-    shared = training.sparkSession.sparkContext.broadcast(frequent := _collected(table, least)[0])
+    def pairs_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, one, _, _ = _positions(column)
+        on = one != RARE
+        return one[on], ids[on]
 
-    def triples_of(column: pa.ListArray) -> np.ndarray:
+    def triples_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         ids, one, two, _ = _positions(column)
-        some, last = shared.value, np.full(len(ids), False)
-        at, there = _find(some, two * size + one)
-        _, last = _find(some, one * size + ids)
-        return (at * size + ids)[there & last & (two != RARE)]
-
-    def contexts_of(column: pa.ListArray) -> np.ndarray:
-        _, one, two, _ = _positions(column)
-        at, there = _find(shared.value, two * size + one)
-        return at[there & (two != RARE)]
-
-    counted = _counted(training, triples_of)
-    at, n = _collected(_counted(training, contexts_of), least)
-    keys, counts = _collected(counted, least)
-    tree.levels = [_kept(first, passed_one, size)]
-    order = np.argsort(frequent[at]) if len(at) else at
-    pairs = frequent[keys // size] * size + keys % size if len(keys) else keys
-    if size**3 >= 2**62:
-        raise OverflowError(f"{size} symbols make contexts of two too long for 64 bits")
-    by = np.argsort(pairs)
-    second, passed_two = _level(tree, frequent[at][order] if len(at) else at, n[order], pairs[by], counts[by], 2, threshold)
-    # A tree holds each suffix of its contexts.
-    suffixes = np.unique(second.contexts[passed_two] % size)
-    keep_one = passed_one | np.isin(first.contexts, suffixes)
-    tree.levels = [_kept(first, keep_one, size), _kept(second, passed_two, size)]
-    return tree
+        on = (one != RARE) & (two != RARE) & (one != START)
+        return (two[on] << BITS) + one[on], ids[on]
 
+    table = materialise(_counted(training, pairs_of), "pst-pairs")
+    frequent = table.where(F.col("n") >= LEAST_COUNT)
+    totals = table.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_COUNT)
+    candidates = frequent.join(root, "symbol").withColumn("below", F.col("root"))
+    shares, states = _states(candidates, totals, threshold)
+    shares = materialise(shares.join(states.select("context", "passed"), "context"), "pst-shares-one")
+    states = materialise(states, "pst-states-one")
+
+    counted = materialise(_counted(training, triples_of).where(F.col("n") >= LEAST_COUNT), "pst-triples")
+    low = F.lit((1 << BITS) - 1)
+    below = F.when(F.col("passed"), F.col("share") + F.col("back") * F.col("root")).otherwise(F.col("root"))
+    one = shares.select(F.col("context").alias("one"), "symbol", "root", below.alias("below"))
+    candidates = counted.withColumn("one", F.col("context").bitwiseAND(low)).join(one, ["one", "symbol"])
+    # A pair is followed as often as it occurs, as it does not end a text.
+    pair_totals = frequent.select((F.shiftleft("context", BITS) + F.col("symbol")).alias("context"), F.col("n").alias("total"))
+    shares_two, states_two = _states(candidates, pair_totals, threshold)
+    states_two = materialise(states_two.where("passed"), "pst-states-two")
+    shares_two = shares_two.join(states_two.select("context"), "context", "left_semi")
+    # A tree holds each suffix of its contexts.
+    suffixes = states_two.select(F.col("context").bitwiseAND(low).alias("context")).distinct().withColumn("suffix", F.lit(True))
+    kept = states.join(suffixes, "context", "left").where("passed or suffix").select("context", "back")
+    no, two = F.lit(None).cast("int"), F.shiftright("context", BITS).cast("int")
+    last = F.col("context").bitwiseAND(low).cast("int")
+    ratio = F.col("share") / F.col("root")
+    parts = [
+        kept.select(last.alias("one"), no.alias("two"), no.alias("symbol"), F.col("back").alias("value")),
+        shares.join(kept.select("context"), "context", "left_semi").select(last.alias("one"), no.alias("two"), F.col("symbol"), ratio.alias("value")),
+        states_two.select(last.alias("one"), two.alias("two"), no.alias("symbol"), F.col("back").alias("value")),
+        shares_two.select(last.alias("one"), two.alias("two"), F.col("symbol"), ratio.alias("value")),
+    ]
+    return materialise(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "pst-tree"), totals
+
+
+def _over_root(tree: pa.Table, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The probability of each symbol in its state, over that under the root."""
+    column = lambda name: tree.column(name).fill_null(-1).to_numpy().astype(np.int64)
+    ones, twos, symbols, values = column("one"), column("two"), column("symbol"), tree.column("value").to_numpy()
+
+    def step(ratio: np.ndarray, deep: bool, context: np.ndarray) -> np.ndarray:
+        on = (twos >= 0) == deep
+        keys = (twos[on] << BITS) + ones[on] if deep else ones[on]
+        s, v = symbols[on], values[on]
+        states = np.argsort(keys[s < 0])
+        names, back = keys[s < 0][states], v[s < 0][states]
+        at, there = _find(names, context)
+        if not there.any():
+            return ratio
+        pairs = (np.searchsorted(names, keys[s >= 0]) << BITS) + s[s >= 0]
+        order = np.argsort(pairs)
+        share = v[s >= 0][order]
+        pair, explicit = _find(pairs[order], (at << BITS) + symbol)
+        return np.where(there, ratio * back[at] + (np.where(explicit, share[pair], 0.0) if len(share) else 0.0), ratio)
+
+    return step(step(np.ones(len(one)), False, one), True, (two << BITS) + one)
+
+
+def scored(rows: DataFrame, tree: DataFrame, totals: DataFrame, tokens: int) -> DataFrame:
+    """row and gain: the sum of the logarithms of its symbols' probabilities over those under the root."""
+    buckets = max(12, -(-tokens // BUCKET))
+    # At most 2 * buckets words are hot, by their shares.
+    ways = F.least(F.lit(buckets), F.ceil(F.col("total") * F.lit(2.0 * buckets / max(1, tokens)))).cast("int")
+    hot = totals.select(F.col("context").cast("int").alias("one"), ways.alias("ways")).where("ways > 1")
+    found = sorted((r["one"], r["ways"]) for r in hot.collect())
+    hot_ones, hot_ways = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+    factor, low = 2654435761, (1 << 32) - 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def scored(rows: DataFrame, tree: Tree) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_rare, log_symbols (of the symbols' probabilities), log_root, rare."""
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
+        def out() -> Iterator[pa.RecordBatch]:
+            row, one, two, symbol = (np.concatenate(x) for x in zip(*held, strict=True))
+            at, there = _find(hot_ones, one)
+            salt = np.where(there, (((row * 40503) & 0xFFFFF) >> 4) % (hot_ways[at] if len(hot_ways) else 1), 0)
+            bucket = ((((one * factor) & low) >> 8) + salt) % buckets
+            order = np.lexsort((symbol, two, one, bucket))
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cut)):
+                some = order[cut[b] : cut[b + 1]]
+                packed = [row[some].tobytes(), *(x[some].astype(np.int32).tobytes() for x in (one, two, symbol))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "rows", "one", "two", "symbol"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
         for batch in batches:
-            ids, one, two, ends = _positions(batch.column("ids"))
-            sums = []
-            for values in (np.log10(tree.probabilities(ids, one, two)), np.where(ids == RARE, 0.0, np.log10(tree.root[ids])), (ids == RARE).astype(float)):
-                total = np.concatenate([[0.0], np.cumsum(values)])
-                starts = np.concatenate([[0], ends[:-1]])
-                sums.append(np.array([values[a:b].sum() for a, b in zip(starts, ends, strict=True)]) if len(ends) else total[:0])
-            made = [batch.column("doc_id"), batch.column("held_out"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), batch.column("rare")]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "held_out", "n_tokens", "n_rare", "log_symbols", "log_root", "rare"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_rare bigint, log_symbols double, log_root double, rare array<struct<word:string,n:int>>")
-
-
-def scores(docs: DataFrame, share: float = SHARE, threshold: float = THRESHOLD) -> DataFrame:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                ids, one, two, _ = _positions(part.column("ids"))
+                row = np.repeat(part.column("row").to_numpy(), part.column("ids").value_lengths().to_numpy())
+                on = one != RARE
+                held.append((row[on], one[on], two[on], ids[on]))
+                size += int(on.sum())
+                if size > 2 * HELD:
+                    yield from out()
+                    held, size = [], 0
+        if size:
+            yield from out()
+
+    def score(sent: pa.Table, tree: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(b"".join(sent.column(name).to_pylist()), kind).astype(np.int64)
+        row = read("rows", np.int64)
+        logs = np.log10(_over_root(tree, read("one", np.int32), read("two", np.int32), read("symbol", np.int32)))
+        different, at = np.unique(row, return_inverse=True)
+        return pa.table({"row": different, "gain": np.bincount(at, logs, len(different)).astype(np.float64)})
+
+    sent = rows.select("row", "ids").mapInArrow(deal, "bucket int, rows binary, one binary, two binary, symbol binary")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))
+    bucket = (F.shiftright((F.col("one").cast("bigint") * F.lit(factor)).bitwiseAND(F.lit(low)), 8) + F.col("salt")) % buckets
+    parts = tree.join(F.broadcast(hot), "one", "left").withColumn("salt", salts).select(bucket.cast("int").alias("bucket"), "one", "two", "symbol", "value")
+    return sent.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(score, "row bigint, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+
+
+def scores(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    spark = docs.sparkSession
     counts = materialise(word_counts(docs.select("doc_id", "text").where(~held_out())), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total = n + SMOOTHING * (v + 1)
-    least = max(LEAST_COUNT, share * n)
-    top = counts.where((F.col("word") != "") & (F.col("c") >= least)).toArrow()
-    by = np.argsort(-top.column("c").to_numpy(), kind="stable")
-    frequent = [top.column("word")[int(i)].as_py().encode() for i in by]
-    frequent_counts = top.column("c").to_numpy()[by]
     ends = counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    root = np.concatenate([[0.0, (ends + SMOOTHING) / total, 1e-300], (frequent_counts + SMOOTHING) / total])
-    root[RARE] = max(1e-300, 1 - root[END] - root[FIRST:].sum())
-    rows = materialise(encoded(docs, frequent), "encoded-texts")
-    tree = grow(rows.where("not held_out"), root, least, threshold)
-    # Each row gets a number of its own, as ids may repeat; the table holds sums and rare words only.
-    parts = materialise(scored(rows, tree).withColumn("__row", F.monotonically_increasing_id()), "scored-texts")
-    rare = parts.select("__row", F.explode_outer("rare").alias("r")).where("r is not null").select("__row", "r.word", "r.n")
-    met = rare.join(counts, "word", "left").select("__row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    logs = met.groupBy("__row").agg(F.sum(F.col("n") * F.log10((F.col("c") + SMOOTHING) / F.lit(total))).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    joined = parts.drop("rare").join(logs, "__row", "left")
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
-    end_known = 0 if ends else 1
-    return joined.select(
+    total = n + SMOOTHING * (v + 1)
+    frequent = numbered(counts)
+    rows = encoded(docs, frequent, counts.where("word != ''"), total, ends)
+    known, kinds = frequent.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    end = (ends + SMOOTHING) / total
+    rare = max(1e-300, 1 - end - (known + SMOOTHING * kinds) / total)
+    others = docs.sparkSession.range(2).select(F.col("id").cast("int").alias("symbol"), F.when(F.col("id") == RARE, F.lit(rare)).otherwise(F.lit(end)).alias("root"))
+    root = frequent.select(F.col("symbol").cast("int"), ((F.col("c") + SMOOTHING) / F.lit(total)).alias("root")).union(others)
+    tree, totals = grow(rows.where("not held_out"), root, threshold)
+    gains = scored(rows, tree, totals, n)
+    return rows.join(gains, "row", "left").select(
         "doc_id",
         "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") - end_known + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_root") + rare_log).alias("base_score"),
-        (F.col("log_symbols") + rare_log - F.col("n_rare") * float(np.log10(root[RARE]))).alias("score"),
+        "base_score",
+        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return scores(docs)
-
-

@@ -172,3 +172,23 @@ def test_pipeline(spark):
     docs = {x.doc_id for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     ids = [x.doc_id for x in got.collect()]
     assert len(ids) == len(set(ids)) and set(ids) < docs and len(ids) > len(docs) / 2
+
+
+def test_language_model_keeps_rare_pairs_of_large_inputs(spark):
+    training = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(100) if not zlib.crc32(str(i).encode()) % 10)
+    rows = frame(spark, [(i, "aa bb") for i in training[:5]] + [(held, "aa bb")], "doc_id bigint, text string")
+    filler = spark.range(1000, 7000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 1100).alias("text"))
+    got = suffix_tree.query(spark, rows.union(filler)).where(F.col("doc_id") == held).first()
+    assert got.train_tokens > 5_000_000 and got.score > got.base_score + 9  # five of them make aa a context and bb its symbol
+
+
+def test_language_model_is_the_same_with_any_head_and_buckets(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, " ".join(x for _ in range(30) for x in r.choice([["aa", "bb", "cc"], ["dd", "bb", "ee"], [f"r{r.randrange(200)}"]]))) for i in range(300)]
+    docs = frame(spark, rows, "doc_id bigint, text string")
+    scores = lambda: {x.doc_id: (round(x.score, 6), round(x.base_score, 6), x.n_known) for x in suffix_tree.query(spark, docs).collect()}
+    want = scores()
+    monkeypatch.setattr(suffix_tree, "HEAD", 2)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 400)
+    assert scores() == want
