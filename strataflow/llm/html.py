@@ -1,10 +1,16 @@
 """Main-text extraction from raw pages: streaming parser events, text-to-tag ratios, Gaussian smoothing, clustering.
 
-The standard library's parser streams events; block elements end lines. A line's ratio is its characters over the tags
-that it took. Lines inside menus, footers, forms, adverts, comments and the like count as boilerplate with ratio zero.
-Ratios are smoothed along the page with a Gaussian, and lines above a share of their standard deviation are content.
-A content region is the whole container (the outermost article or main element, else the body) around such lines; all
-of its lines that are no boilerplate are kept, short ones too.
+The standard library's parser streams events; block elements end lines. A line's ratio is its characters outside of
+links over the tags that it took. Lines inside menus, footers, forms, adverts, comments and the like, as told by element,
+role or a whole class or id, count as boilerplate with ratio zero. Ratios are smoothed with a Gaussian, and compared
+with a share of their standard deviation over the page.
+
+A block is what stands directly in one div, section, article, main or body, lists and tables included. It is content,
+with all its lines, if smoothing inside the block alone lifts a line to the limit: neighbours outside do not help. A
+block that fails stays only if content stands before and after it and smoothing along the page lifts all its lines,
+which happens to short lines between long ones; or if it is a heading right before a content block. Clusters of lines
+(a block, a list or a table) whose text is mostly links go. If a block in an article or main element is content, only
+such elements count.
 
 Null html is empty; a page without content has the empty text. Repeated pages keep a row each.
 """
@@ -12,9 +18,9 @@ Null html is empty; a page without content has the empty text. Repeated pages ke
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +35,42 @@ DROPPED = frozenset("script style noscript template head title nav header footer
 MARKED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social related comment comments respond disqus popup modal widget masthead pagination".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 MAIN = frozenset(("article", "main"))
-SIGMA, SHARE = 1.0, 0.5
+BLOCKS = frozenset("div section article main body".split())
+CLUSTERS = BLOCKS | frozenset("ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIGMA, SHARE, LINKED = 1.0, 0.5, 0.5
+
+
+class Line(NamedTuple):
+    """region is None in boilerplate, else the number of the article or main element, 0 outside of them; links counts
+    the characters inside of links; block and cluster are numbers of elements."""
+
+    text: str
+    tags: int
+    region: int | None
+    links: int
+    block: int
+    cluster: int
+    heading: bool
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, tags, region): region is None in boilerplate, else the number of the container."""
+    """The lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int | None]] = []
+        self.lines: list[Line] = []
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate by itself
-        self.dropped = self.mains = self.regions = self.tags = 0
+        self.dropped = self.mains = self.regions = self.tags = self.anchors = self.headings = self.links = self.elements = 0
+        self.blocks, self.clusters = [0], [0]  # numbers of the open ones
         self.text: list[str] = []
 
     def _end_line(self) -> None:
         if self.text and (line := " ".join("".join(self.text).split())):
-            self.lines.append((line, self.tags, None if self.dropped else self.regions if self.mains else 0))
+            region = None if self.dropped else self.regions if self.mains else 0
+            self.lines.append(Line(line, self.tags, region, min(self.links, len(line)), self.blocks[-1], self.clusters[-1], self.headings > 0))
             self.tags = 0
-        self.text = []
+        self.text, self.links = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -57,12 +81,19 @@ class _Lines(HTMLParser):
         if tag == "p" and self.stack and self.stack[-1][0] == "p":
             self._close(len(self.stack) - 1)
         named = dict(attrs)
-        marks = re.split(r"[^a-z]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower())
+        marks = f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()
         bad = tag in DROPPED or "hidden" in named or named.get("role") in ROLES or tag not in ("html", "body") and not MARKED.isdisjoint(marks)
         if bad and not self.dropped:
             self._end_line()
         self.stack.append((tag, bad))
         self.dropped += bad
+        self.anchors += tag == "a"
+        self.headings += tag in HEADINGS
+        self.elements += 1
+        if tag in BLOCKS:
+            self.blocks.append(self.elements)
+        if tag in CLUSTERS:
+            self.clusters.append(self.elements)
         if tag in MAIN:
             self.regions += not self.mains
             self.mains += 1
@@ -85,9 +116,17 @@ class _Lines(HTMLParser):
                 self._end_line()
             self.dropped -= bad
             self.mains -= tag in MAIN
+            self.anchors -= tag == "a"
+            self.headings -= tag in HEADINGS
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in CLUSTERS:
+                self.clusters.pop()
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.anchors:
+            self.links += len(" ".join(data.split()))
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -104,14 +143,32 @@ def extract(html: str | None) -> str:
     parser.close()
     parser._end_line()
     lines = parser.lines
-    ratios = [0.0 if region is None else len(text) / max(1, tags) for text, tags, region in lines]
+    ratios = [0.0 if x.region is None else (len(x.text) - x.links) / max(1, x.tags) for x in lines]
     smooth = smoothed(ratios)
     mean = sum(smooth) / max(1, len(smooth))
     limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in smooth) / max(1, len(smooth)))
-    chosen = {region for (_, _, region), x in zip(lines, smooth, strict=True) if region is not None and x >= limit}
-    if any(chosen):  # text outside of articles is content only where there is no article
-        chosen.discard(0)
-    return " ".join(text for text, _, region in lines if region in chosen)
+    clusters: dict[int, list[int]] = {}
+    for x in lines:
+        if x.region is not None:
+            sums = clusters.setdefault(x.cluster, [0, 0])
+            sums[0] += x.links
+            sums[1] += len(x.text)
+    linked = {c for c, (links, chars) in clusters.items() if links > LINKED * chars}
+    blocks: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if x.region is not None and x.cluster not in linked:
+            blocks.setdefault(x.block, []).append(i)
+    content = {b for b, places in blocks.items() if max(smoothed([ratios[i] for i in places])) >= limit}
+    if any(lines[blocks[b][0]].region for b in content):  # text outside of articles is content only where there is no article
+        blocks = {b: places for b, places in blocks.items() if lines[places[0]].region}
+        content &= blocks.keys()
+    chosen = {i for b in content for i in blocks[b]}
+    first, last = min(chosen, default=0), max(chosen, default=0)
+    for b, places in blocks.items():
+        between = first < places[0] and places[-1] < last and all(smooth[i] >= limit for i in places)
+        if b not in content and (between or all(lines[i].heading for i in places) and places[-1] + 1 in chosen):
+            chosen.update(places)
+    return " ".join(lines[i].text for i in sorted(chosen))
 
 
 def main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:

@@ -192,3 +192,14 @@ def test_language_model_is_the_same_with_any_head_and_buckets(spark, monkeypatch
     monkeypatch.setattr(suffix_tree, "HEAD", 2)
     monkeypatch.setattr(suffix_tree, "BUCKET", 400)
     assert scores() == want
+
+
+def test_html_decides_by_ratios_where_no_name_is_listed():
+    long, more = "long words of text " * 12, "more words to read " * 12
+    inside = f'<div class="content with-sidebar"><h1>Head</h1><p>{long}</p><p>Short.</p><p>{more}</p><ul><li><a href="1">one link</a></li><li><a href="2">two links</a></li></ul></div>'
+    page = inside + '<div class="links"><a href="3">Home</a><br><a href="4">News of today</a></div><div class="replies"><p>me too</p><p>first!</p></div>'
+    want = " ".join(f"Head {long} Short. {more}".split())
+    assert html.extract(f"<body>{page}</body>") == want
+    assert html.extract(f"<body><article>{page}</article></body>") == want
+    between = f'<div><p>{long}</p></div><div class="x">Short one.</div><div><p>{more}</p></div>'
+    assert html.extract(between) == " ".join(f"{long} Short one. {more}".split())
