@@ -24,6 +24,14 @@ def distance_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str,
     return pairs.select(*(F.col(f"l.`{c}`") for c in left.columns), *(F.col(f"r.`{c}`") for c in right.columns), near.alias("distance"))
 
 
+def source_pairs(points: DataFrame, most: float) -> DataFrame:
+    """Pairs of points (source, unit, boundary, measured, x, y and others) of different sources on the same unit and
+    boundary, at least one of them measured, within a distance; both ways. The other point's columns start with b_."""
+    other = points.select(*(F.col(c).alias(f"b_{c}") for c in points.columns))
+    fit = (F.col("source") != F.col("b_source")) & (F.col("unit") == F.col("b_unit")) & (F.col("boundary") == F.col("b_boundary")) & (F.col("measured") | F.col("b_measured"))
+    return distance_join(points, other, "x", "y", "b_x", "b_y", most, fit)
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """left with the value and time (__rts) of right's nearest row of the same key; of equally near ones the earlier.
 

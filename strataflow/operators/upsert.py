@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def versioned_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows with state: kept (old, no newer), fresh (new), history (old, replaced). One full outer join."""
-    joined = old.alias("o").join(new.alias("n"), keys, "full_outer")
-    has_old, has_new = F.col("o.__old").isNotNull(), F.col("n.__new").isNotNull()
-    values = [c for c in old.columns if c not in (*keys, "__old")]
-    row = lambda side, state: F.struct(*(F.col(f"{side}.{c}").alias(c) for c in values), F.lit(state).alias("state"))
-    rows = F.filter(F.array(F.when(has_old & ~has_new, row("o", "kept")), F.when(has_old & has_new, row("o", "history")), F.when(has_new, row("n", "fresh"))), lambda r: r.isNotNull())
-    return joined.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.*")
+def versioned_merge(old: DataFrame, new: DataFrame, keys: list[str], page: str | None = None, reread: DataFrame | None = None) -> DataFrame:
+    """All rows with state: kept (old), fresh (new), history (old, replaced). Old rows are replaced where new has their
+    keys (nulls are equal), or where their page is among those of reread. So no fresh row has the keys of a kept one."""
+    columns = [*keys, *(c for c in old.columns if c not in (*keys, "__old"))]
+    old, new = old.select(columns), new.select(columns)
+    again = new.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).distinct().withColumn("__again", F.lit(True))
+    marked = old.join(again, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))), "left")
+    gone = F.col("__again").isNotNull()
+    if reread is not None:
+        marked = marked.join(reread.select(F.col(page).alias("__page")).distinct().where("__page is not null"), F.col(page) == F.col("__page"), "left")
+        gone = gone | F.col("__page").isNotNull()
+    rows = marked.select(*columns, F.when(gone, "history").otherwise("kept").alias("state"))
+    return rows.unionByName(new.withColumn("state", F.lit("fresh")))
 
 
 def corrected(df: DataFrame, corrections: DataFrame, key: str, column: str) -> DataFrame:

@@ -23,15 +23,17 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def gap_segments(df: DataFrame, key: str, ts: str, factor: float, least_seconds: float) -> DataFrame:
-    """df with segment: a number that grows where the step in time exceeds max(factor * upper-median step, least)."""
+def gap_segments(df: DataFrame, key: str, ts: str, factor: float, least_seconds: float, value: str | None = None) -> DataFrame:
+    """df with segment: a number that grows where the step in time exceeds max(factor * upper-median step, least).
+    With value, rows where it is null or not finite break the line too and are left out; their steps count."""
     w = Window.partitionBy(key).orderBy(ts)
     step = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
-    stepped = df.withColumn("__step", step)
+    there = F.lit(True) if value is None else F.coalesce(F.abs(F.col(value).cast("double")) < float("inf"), F.lit(False))
+    stepped = df.withColumn("__there", there).withColumn("__step", step).withColumn("__after", F.coalesce(~F.lag("__there").over(w), F.lit(False)))
     limits = stepped.groupBy(key).agg(upper_median(F.collect_list("__step")).alias("__median"))
     limits = limits.withColumn("__limit", F.greatest(F.lit(factor) * F.col("__median"), F.lit(least_seconds * 1e6)))
-    broken = stepped.join(limits, key).withColumn("__break", F.coalesce((F.col("__step") > F.col("__limit")).cast("int"), F.lit(0)))
-    return broken.withColumn("segment", F.sum("__break").over(w)).drop("__step", "__median", "__limit", "__break")
+    broken = stepped.join(limits, key).withColumn("__break", (F.coalesce(F.col("__step") > F.col("__limit"), F.lit(False)) | F.col("__after")).cast("int"))
+    return broken.withColumn("segment", F.sum("__break").over(w)).where("__there").drop("__there", "__step", "__after", "__median", "__limit", "__break")
 
 
 def islands(df: DataFrame, key: str, number: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions import rules
-from strataflow.operators import joins, upsert, windows
+from strataflow.operators import joins, surfaces, upsert, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,7 +194,8 @@ def error_stats(lineitem: DataFrame) -> DataFrame:
     fit = lineitem.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("m"), F.regr_intercept("l_extendedprice", "l_quantity").alias("b"))
     e = F.col("l_extendedprice") - (F.col("m") * F.col("l_quantity") + F.col("b"))
     rows = lineitem.crossJoin(F.broadcast(fit)).select("l_returnflag", e.alias("e"))
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 3).alias("rmse"), F.round(F.avg(F.abs("e")), 3).alias("mae"), F.round(F.avg("e"), 3).alias("bias"))
+    stats = rows.groupBy("l_returnflag").agg(*surfaces.error_stats(F.col("e")))
+    return stats.select("l_returnflag", "n", *(F.round(c, 3).alias(c) for c in ("rmse", "mae", "bias")))
 
 
 @query(
@@ -302,9 +303,7 @@ def trend(embeddings: DataFrame) -> DataFrame:
 def idw_loo(embeddings: DataFrame) -> DataFrame:
     """Leave-one-out inverse-distance estimates within each surface's points."""
     p = embeddings.select("vec_id", "label", *(F.get("embedding", i).cast("double").alias(c) for i, c in enumerate("xyz")))
-    d2 = F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2)
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-    return pairs.groupBy(F.col("a.vec_id")).agg(F.round(F.sum(F.col("b.z") / d2) / F.sum(1 / d2), 4).alias("estimate"))
+    return surfaces.idw_loo(p, "vec_id", "label", "x", "y", "z").withColumn("estimate", F.round("estimate", 4))
 
 
 @query("select user_id, time_bucket(interval 1 day, ts) as day, round(avg(value), 6) as mean, count(*) as n from events group by all", "events")
