@@ -41,7 +41,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n, chars = len(words), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
     letters = max(1, sum(map(len, words)))
-    upper = sum(map(str.isupper, text)) if len(text) < 1 << 20 else len(re.findall(r"[A-ZÀ-Þ]", text))
+    upper = sum(map(str.isupper, text))
     form = [
         1.0,
         min(np.log1p(n), 10) / 5,

@@ -203,3 +203,9 @@ def test_html_decides_by_ratios_where_no_name_is_listed():
     assert html.extract(f"<body><article>{page}</article></body>") == want
     between = f'<div><p>{long}</p></div><div class="x">Short one.</div><div><p>{more}</p></div>'
     assert html.extract(between) == " ".join(f"{long} Short one. {more}".split())
+
+
+def test_ordinal_features_count_capitals_alike_at_every_length():
+    for word in ("ŒΩЖ ab ", "×× abcd "):
+        short, long = (ordinal.features(word * n)[1][3] for n in (100, 200_000))
+        assert short == long
