@@ -1,7 +1,8 @@
 """Connected components of a graph given as a table of links, by alternating star contraction.
 
 Each round replaces the links of a node by links to the smallest node that it knows; rounds grow with the logarithm
-of the longest path. Minima are pre-aggregated before they are joined, and a hub's links can be split between tasks.
+of the longest path. Minima are pre-aggregated before they are joined. Those of hubs (nodes of over HUB links, so at
+most one in HUB of the links) are broadcast, so a hub's links stay where they are; the others are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -9,13 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialise
+from strataflow.llm.common import broadcast_if_small, materialise, small_enough
+
+HUB = 256
+#: Minima (24 bytes each) up to which they are broadcast.
+MOST_MINIMA = 500_000
 
 
 def _towards_least(pairs: DataFrame) -> DataFrame:
     """Of pairs (u, v), v and the least neighbour of u or u itself, as __m."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("__m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "__m").alias("__m"))
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("__m"), F.count("*").alias("__n")), "minima")
+    if small_enough(least, MOST_MINIMA):
+        found = pairs.join(F.broadcast(least.drop("__n")), "u")
+    else:
+        hubs = broadcast_if_small(least.where(F.col("__n") > HUB).drop("__n"), MOST_MINIMA)
+        others = least.where(F.col("__n") <= HUB).drop("__n")
+        found = pairs.join(hubs, "u").unionByName(pairs.join(hubs, "u", "left_anti").join(others, "u"))
+    return found.select("u", "v", F.least("u", "__m").alias("__m"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:

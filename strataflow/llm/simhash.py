@@ -159,13 +159,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
                     hashes = gram_hashes((t or "").encode("utf-8", "surrogatepass").lower().split())
                     made.append((majority(hashes), *similar.sketch(hashes)))
                 f, s = (pa.array(np.array([m[i] for m in made], np.uint64).view(np.int64)) for i in (0, 1))
-                bands, bits = (pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (3, 4))
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__digest"), f, s, pa.array([m[2] for m in made], pa.int64()), bands, bits], names=["__id", "__digest", "f", "s", "n", "bands", "bits"])
+                bands, marks = (pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (3, 4))
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__digest"), f, s, pa.array([m[2] for m in made], pa.int64()), bands, marks], names=["__id", "__digest", "f", "s", "n", "bands", "marks"])
 
     source = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__digest"), "text")
     kind = source.schema["__id"].dataType.simpleString()
-    rows = materialise(source.mapInArrow(run, f"__id {kind}, __digest bigint, f bigint, s bigint, n bigint, bands array<bigint>, bits array<bigint>"), "sketches")
-    one = rows.groupBy("s").agg(F.min(F.struct("__id", "__digest", "n", "bands", "bits")).alias("r"))
+    rows = materialise(source.mapInArrow(run, f"__id {kind}, __digest bigint, f bigint, s bigint, n bigint, bands array<bigint>, marks array<bigint>"), "sketches")
+    one = rows.groupBy("s").agg(F.min(F.struct("__id", "__digest", "n", "bands", "marks")).alias("r"))
     nodes = materialise(one.select("s", "r.*"), "nodes")
     owners = materialise(rows.groupBy("f").agg(F.min("s").alias("owner")), "fingerprint-owners")
     same = rows.select("f", "s").distinct().join(owners, "f").where("s <> owner").select(F.col("s").alias("a"), F.col("owner").alias("b"))

@@ -3,14 +3,14 @@
 MinHash bands propose, exact sets decide. A pair of similarity 0.8 shares one of BANDS bands of ROWS minima with
 probability 1 - (1 - 0.8 ** 6) ** 24 > 0.999. Texts with equal sets are one node, so copies are never paired.
 
-A band's bucket is never paired off as a whole. In each round some members lead, and every member of the bucket in
-another component is compared with them; links join components, and a bucket is closed once it lies in one
-component or each member outside its largest component has led. LEADERS says how many
-lead in a round. No bucket is capped.
+Buckets of at most BUCKET nodes are paired; a larger one never is as a whole. In each round some of its members lead,
+and every member in another component is compared with them; links join components, and a bucket is closed once it
+lies in one component or each member outside its largest component has led. LEADERS says how many lead in a round. No
+bucket is capped. What a round makes are links that join components, so they grow with the members.
 
-Comparisons begin inside the join, with four bits of each of BITTED minima: a pair of similarity 0.8 agrees in 104 of
-128 on average, with a deviation of 4.4, and goes on if it agrees in AGREE or more (all but about one in 20,000 of the
-pairs that lie right at 0.8, fewer above it). Exact sets are made only for texts of pairs that go on.
+A pair is compared by parities before exact sets are made: each node keeps, for MARKS * 64 bins, whether an odd number
+of its shingles fall there. Sets that differ in d shingles differ in at most d bins, so the filter loses no pair; it
+runs inside the join of a large bucket. Exact sets are made only for texts of pairs that pass.
 
 Words are runs of other characters than space and \\t to \\r, A-Z in lower case. Texts with fewer words than a shingle are
 one shingle; texts without words (null, empty) have no bands and no links.
@@ -31,13 +31,16 @@ from strataflow.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Leaders of a bucket by round; the last number holds on.
+#: Nodes of a bucket up to which all its pairs are compared.
+BUCKET = 8
+#: Leaders of a larger bucket by round; the last number holds on.
 LEADERS = (1, 16, 512)
-#: Minima whose four bits agree, from which on a pair goes on to the exact sets.
-AGREE = 86
-BITTED, PLANES = 128, 4
-#: Leaders (300 bytes each) up to which they are broadcast to the members of their buckets.
+#: Numbers of 64 parities each.
+MARKS = 8
+#: Leaders, and nodes of pairs (120 bytes each), up to which they are broadcast.
 MOST_LEADERS = 100_000
+#: Keys of shared buckets (16 bytes each) up to which they are broadcast.
+MOST_KEYS = 1_000_000
 #: Shingles (8 bytes each) of the texts of a round's pairs up to which their sets are broadcast.
 MOST_SHINGLES = 2_000_000
 SEED = 7
@@ -66,12 +69,14 @@ def shingle_set(grams: np.ndarray) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray) -> tuple[int, int, list[int], list[int]]:
-    """A digest of the shingle set, its size, a hash for each band, and PLANES bits of each of
-    the first BITTED minima, 64 minima to a number (none without words)."""
+    """A digest of the shingle set, its size, a hash for each band, and the parities of the set's bins, 64 to a number
+    (no bands without words)."""
     found = shingle_set(grams)
     digest = xxhash.xxh64_intdigest(found.tobytes())
+    odd = np.bincount((found & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+    marks = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
     if not len(found):
-        return digest, 0, [], []
+        return digest, 0, [], marks
     high = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(high), 512):  # memory does not follow the longest text
@@ -80,19 +85,17 @@ def sketch(grams: np.ndarray) -> tuple[int, int, list[int], list[int]]:
         np.minimum(least, moved.min(1), out=least)
     mixed = _mixed(least.astype(np.uint64))
     bands = _mixed((mixed.reshape(BANDS, ROWS) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    planes = mixed[:BITTED] >> (np.uint64(64 - PLANES) + np.arange(PLANES, dtype=np.uint64))[:, None] & np.uint64(1)
-    bits = np.packbits(planes.astype(np.uint8), axis=1).view(np.uint64).ravel()
-    return digest, len(found), bands.view(np.int64).tolist(), bits.view(np.int64).tolist()
+    return digest, len(found), bands.view(np.int64).tolist(), marks
 
 
-FLAT = [f"h{i}" for i in range(BITTED // 64 * PLANES)]
+FLAT = [f"h{i}" for i in range(MARKS)]
 
 
-def differing(a: str, b: str) -> Column:
-    """In how many of the BITTED minima the bits differ."""
-    words = BITTED // 64
-    planes = [[F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}")) for h in FLAT[w::words]] for w in range(words)]
-    return reduce(Column.__add__, (F.bit_count(reduce(Column.bitwiseOR, p)) for p in planes))
+def plausible(a: str, b: str, least: float = SIMILARITY) -> Column:
+    """Whether sizes n and parities of two nodes allow the similarity; true for every pair that reaches it."""
+    differing = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in FLAT))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(n, m) >= least * F.greatest(n, m)) & (differing * (1 + least) <= (1 - least) * (n + m) + 1e-6)
 
 
 def sets(text: Column, width: int = SHINGLE) -> Column:
@@ -122,30 +125,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     return pairs.join(right, "b").join(left, "a").where(both * (1 + least) >= least * (F.size("ga") + F.size("gb")) - 1e-6).select("a", "b")
 
 
+def compared(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) those that sizes and parities allow. Only marks of nodes in pairs are moved."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    chosen = broadcast_if_small(materialise(marks.join(broadcast_if_small(materialise(named, "paired"), MOST_NODES), "s", "left_semi"), "paired-marks"), MOST_LEADERS)
+    x, y = chosen.alias("x"), chosen.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.s")).join(y, F.col("b") == F.col("y.s"))
+    return both.where(plausible("x", "y", least)).select("a", "b")
+
+
 def groups(nodes: DataFrame, docs: DataFrame, known: DataFrame, width: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """node and root (the smallest node of its group) for each node that has a link, where links are those known and
-    those of nodes whose texts are similar. nodes: s, n (size of the set), bands, bits,
-    __id and __digest, one row each; known: links (a, b)."""
+    those of nodes whose texts are similar. nodes: s, n (size of the set), bands, marks, __id and __digest, one row
+    each; known: links (a, b)."""
     banded = nodes.select("s", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    rows = materialise(banded.join(shared, "key").join(nodes.select("s", "n", *(F.get("bits", F.lit(i)).alias(h) for i, h in enumerate(FLAT))), "s"), "bands")
+    shared = broadcast_if_small(materialise(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-bands"), MOST_KEYS)
+    placed = materialise(banded.join(shared, "key"), "bands")
+    marks = nodes.select("s", "n", *(F.get("marks", F.lit(i)).alias(h) for i, h in enumerate(FLAT)))
     texts = nodes.select("s", "__id", "__digest")
-    roots, led = components(known, "a", "b"), None
+    few = placed.where(F.col("m") <= BUCKET).select("key", "s")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")))
+    pairs = materialise(pairs.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct(), "close-pairs")
+    close = verified(materialise(compared(pairs, marks, least), "pairs"), texts, docs, width, least)
+    roots, led = components(materialise(known.union(close), "known-links"), "a", "b"), None
+    rows = materialise(placed.where(F.col("m") > BUCKET).select("key", "s").join(marks, "s"), "large-bands")
+    if rows.isEmpty():
+        return roots
     for leaders in chain(LEADERS, repeat(LEADERS[-1])):
-        placed = rows.join(broadcast_if_small(roots.withColumnRenamed("node", "s"), MOST_NODES), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        split = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main"))
-        rows = materialise(placed.join(split.where("parts > 1"), "key").select("key", "s", "n", *FLAT, "root", "main"), "open-bands")
+        rooted = rows.join(broadcast_if_small(roots.withColumnRenamed("node", "s"), MOST_NODES), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main"))
+        split = broadcast_if_small(materialise(sizes.where("parts > 1").select("key", "main"), "split-bands"), MOST_KEYS)
+        rows = materialise(rooted.join(split, "key").select("key", "s", "n", *FLAT, "root", "main"), "open-bands")
         pool = rows.where("root <> main")
         if led is not None:
-            pool = pool.join(led, ["key", "s"], "left_anti")
+            pool = pool.join(broadcast_if_small(led, MOST_LEADERS), ["key", "s"], "left_anti")
         # Spark limits each bucket before the shuffle too, so a large bucket is not sorted in one task.
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("s"), "s"))
         lead = materialise(pool.select("key", "s", "n", *FLAT, "root", place.alias("__p")).where(F.col("__p") <= leaders).drop("__p"), "leaders")
         if lead.isEmpty():
             return roots
         x, y = rows.alias("x"), broadcast_if_small(lead, MOST_LEADERS).alias("y")
-        alike = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (differing("x", "y") <= BITTED - AGREE)
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike)
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & plausible("x", "y", least))
         pairs = materialise(pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct(), "pairs")
         found = materialise(verified(pairs, texts, docs, width, least), "found-links")
         if not found.isEmpty():
