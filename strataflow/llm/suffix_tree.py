@@ -1,44 +1,51 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are the frequent words of the training texts, one class for all rarer words, and an end; a start mark may only
-stand in contexts. States are contexts of no, one or two symbols whose next-symbol distribution diverges from that of
-their longest proper suffix: count * KL divergence must reach a likelihood-ratio threshold. Distributions are
-smoothed by absolute discounting into the suffix's distribution, down to the add-0.1 unigram of the root; a rare
-word takes its class's probability times its share of the class under the root. A text is scored symbol by symbol in
-the state of the longest suffix that the tree holds.
+stand in contexts, as their first symbol. States are contexts of up to DEPTH symbols whose next-symbol distribution
+diverges from that of their longest proper suffix: count * KL divergence must reach a likelihood-ratio threshold.
+Distributions are smoothed by absolute discounting into the suffix's distribution, down to the add-0.1 unigram of the
+root; a rare word takes its class's probability times its share of the class under the root. A text is scored symbol
+by symbol in the state of the longest suffix that the tree holds.
 
 All counts come from all training rows. Frequent means at least LEAST_COUNT, at every size: words, contexts and
-(context, symbol) pairs kept grow with the input and stay in tables. Only the HEAD most frequent words are broadcast,
-which saves joins and changes no result; other words get their numbers in a join. To be scored, symbols go to the bucket
-of the last symbol of their context, where the part of the tree with that suffix goes too; symbols that follow a hot
-word are dealt over several buckets, each with that part. Held-out rows are those whose crc32(doc_id as text) is a
-multiple of ten (a null id counts as the empty text). Null texts hold the end only.
+(context, symbol) pairs kept grow with the input. Only the HEAD most frequent words are broadcast, which saves joins
+and changes no result; other words get their numbers in a join. Numbers follow the counts, so the root's
+distribution is a table of different counts (their number grows with the square root of the tokens).
+
+Every context ends in some symbol, so the tree falls apart by last symbols. Tokens go, packed, to the bucket of the
+last symbol of their context; there the part of the tree with that suffix is counted, pruned and used, with one
+shuffle for both. Symbols that follow a hot word are dealt over several buckets by the word before it, those after a hot
+pair by their texts; counts of hot contexts are pre-aggregated and sent to all their buckets. Held-out rows are those
+whose crc32(doc_id as text) is a multiple of ten (a null id counts as the empty text). Null texts hold the end only.
+Repeated rows count and are scored each; an empty table gives no rows; texts are read whole, at any length.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialise, slices
+from strataflow.llm.common import discard, materialise, slices
 
 LEAST_COUNT = 4
 DISCOUNT, THRESHOLD = 0.75, 8.0
 SMOOTHING = 0.1
-#: Symbols: 0 is the class of rare words, 1 the end, 2 the start; frequent words follow.
+#: Symbols in the longest contexts.
+DEPTH = 3
+#: Symbols: 0 is the class of rare words, 1 the end, 2 the start; frequent words follow by falling count.
 RARE, END, START, FIRST = 0, 1, 2, 3
-#: Different keys that a task counts before it hands them on.
-HELD = 400_000
-#: Texts whose symbols a task handles at once.
-ROWS = 500
-#: Words that are broadcast with their numbers; symbols a bucket holds when scored.
-HEAD, BUCKET = 200_000, 700_000
+#: In columns of contexts: no symbol there, or none before the class of rare words; a context's total in place of a symbol.
+NONE, TOTAL = -1, -2
+#: Different keys that a task counts before it hands them on, and tokens that it deals at once.
+HELD, DEALT = 400_000, 1_500_000
+#: Words that are broadcast with their numbers; tokens a bucket should hold, and the fewest buckets.
+HEAD, BUCKET, BUCKETS = 200_000, 700_000, 48
 #: Symbols fit into so many bits, two of them into a key.
 BITS = 31
 
@@ -76,8 +83,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def numbered(counts: DataFrame) -> DataFrame:
-    """word, c and symbol of the frequent words; symbols are numbered without gaps."""
-    frequent = counts.where((F.col("word") != "") & (F.col("c") >= LEAST_COUNT))
+    """word, c and symbol of all words: frequent ones are numbered without gaps by falling count, others are rare."""
+    frequent = counts.where((F.col("word") != "") & (F.col("c") >= LEAST_COUNT)).orderBy(F.desc("c"), "word")
     rows = materialise(frequent.select("word", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "frequent-words")
     start, offsets = FIRST, []
     for r in rows.groupBy("part").count().orderBy("part").collect():
@@ -86,13 +93,26 @@ def numbered(counts: DataFrame) -> DataFrame:
     if start >= 1 << BITS:
         raise OverflowError(f"{start} symbols need more than {BITS} bits")
     first = F.element_at(F.create_map(*offsets), F.col("part")) if offsets else F.lit(0).cast("bigint")
-    return rows.select("word", "c", (first + F.col("at")).alias("symbol"))
+    others = counts.where((F.col("word") != "") & (F.col("c") < LEAST_COUNT)).select("word", "c", F.lit(RARE).cast("int").alias("symbol"))
+    return rows.select("word", "c", (first + F.col("at")).cast("int").alias("symbol")).unionByName(others)
 
 
-def encoded(docs: DataFrame, words_in: DataFrame, counts: DataFrame, total: float, end: float) -> DataFrame:
-    """row (a number of its own, as ids may repeat), doc_id, held_out, ids (one symbol per token), n_known and base_score.
-    Words out of the broadcast head are numbered for each text, and meet their counts in a join."""
-    head = words_in.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes."""
+    planes = np.ascontiguousarray(np.asarray(x, "<i4")).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
+def encoded(docs: DataFrame, vocabulary: DataFrame, total: float, end: float) -> tuple[DataFrame, DataFrame]:
+    """row (a number of its own, as ids may repeat), doc_id, held_out, n_tokens, n_known and base_score; and row,
+    held_out, n and ids (packed, one symbol per token). Words out of the broadcast head are numbered for each text, and
+    meet their counts in a join."""
+    head = vocabulary.where(F.col("symbol").between(FIRST, FIRST + HEAD - 1)).toArrow()
     places = {w.encode(): i + 1 for i, w in enumerate(head.column("word").to_pylist())}
     logs = np.log10((head.column("c").to_numpy() + SMOOTHING) / total)
     shared = docs.sparkSession.sparkContext.broadcast((places, head.column("symbol").to_numpy().astype(np.int32), logs))
@@ -103,7 +123,7 @@ def encoded(docs: DataFrame, words_in: DataFrame, counts: DataFrame, total: floa
         get = places.get
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, ends, base, tail, times, tail_ends = [], [0], [], [], [], [0]
+                flat, sizes, base, tail, times, tail_ends = [], [], [], [], [], [0]
                 for t in part.column("text").to_pylist():
                     w = words(t)
                     at = [get(x, 0) for x in w]
@@ -120,66 +140,93 @@ def encoded(docs: DataFrame, words_in: DataFrame, counts: DataFrame, total: floa
                     ids[known] = symbols[places_of]
                     ids[-1] = END
                     base.append(float(logs[places_of].sum()) + end_log)
-                    flat.append(ids)
-                    ends.append(ends[-1] + len(ids))
+                    flat.append(pack(ids))
+                    sizes.append(len(ids))
                 structs = pa.StructArray.from_arrays([pa.array(tail, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
-                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), structs)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], names=["doc_id", "held_out", "ids", "base", "tail"])
+                made = [pa.array(sizes, pa.int32()), pa.array(flat, pa.binary()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), structs)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], names=["doc_id", "held_out", "n", "ids", "base", "tail"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, ids array<int>, base double, tail array<struct<word:string,n:int>>")
+    made = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n int, ids binary, base double, tail array<struct<word:string,n:int>>")
     made = materialise(made.withColumn("row", F.monotonically_increasing_id()), "encoded-texts")
     tail = made.select("row", F.posexplode("tail").alias("k", "t")).select("row", "k", "t.word", "t.n")
-    met = tail.join(counts, "word", "left").join(words_in.select("word", "symbol"), "word", "left")
     c = F.coalesce("c", F.lit(0))
-    sums = met.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("k", F.coalesce("symbol", F.lit(RARE)).cast("int").alias("symbol"))))["symbol"].alias("symbols"),
+    sums = tail.join(vocabulary, "word", "left").groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("k", F.coalesce("symbol", F.lit(RARE)).alias("symbol"))))["symbol"].alias("symbols"),
         F.sum(F.col("n") * F.log10((c + SMOOTHING) / F.lit(total))).alias("log"),
         F.sum(F.when(c > 0, 0).otherwise(F.col("n"))).alias("unknown"),
     )
-    ids = F.when(F.col("symbols").isNull(), F.col("ids")).otherwise(F.transform("ids", lambda x: F.when(x >= 0, x).otherwise(F.get("symbols", -x - 1))))
-    known = F.size("ids") - F.coalesce("unknown", F.lit(0)) - (0 if end else 1)
-    return materialise(made.join(sums, "row", "left").select("row", "doc_id", "held_out", ids.alias("ids"), known.cast("long").alias("n_known"), (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score")), "symbols-of-texts")
-
-
-def _positions(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of a batch: the symbol, the one before, the one before that (START at the start), text ends."""
-    ids = column.flatten().to_numpy().astype(np.int64)
-    sizes = column.value_lengths().to_numpy()
-    ends = np.cumsum(sizes)
-    first = (ends - sizes)[sizes > 0]
-    one, two = np.empty_like(ids), np.empty_like(ids)
-    one[1:], one[first] = ids[:-1], START
-    two[1:], two[first] = one[:-1], START
-    return ids, one, two, ends
-
-
-def _counted(rows: DataFrame, keys_of) -> DataFrame:
-    """Counts n of (context, symbol) made from batches of ids, pre-aggregated in each task in runs of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            context = np.concatenate([x[0] for x in held] or [np.empty(0, np.int64)])
-            symbol = np.concatenate([x[1] for x in held] or [np.empty(0, np.int64)])
-            order = np.lexsort((symbol, context))
-            context, symbol = context[order], symbol[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(context)), bool), (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
-            n = np.diff(np.append(first, len(context)))
-            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["context", "symbol", "n"])
+    sums = materialise(sums, "tails-of-texts")
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                held.append(keys_of(batch.slice(start, ROWS).column("ids")))
-                size += len(held[-1][0])
-                if size > 5 * HELD:
-                    yield out()
-                    held, size = [], 0
-        yield out()
-
-    return rows.select("ids").mapInArrow(run, "context bigint, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+            ids = []
+            for n, packed, fixed in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "symbols")), strict=True):
+                if fixed:
+                    x = unpack(packed, n)
+                    low = x < 0
+                    x[low] = np.array(fixed, np.int64)[-1 - x[low]]
+                    packed = pack(x)
+                ids.append(packed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "held_out", "n")), pa.array(ids, pa.binary())], names=["row", "held_out", "n", "ids"])
+
+    symbols = made.select("row", "held_out", "n", "ids").join(sums.select("row", "symbols"), "row", "left").mapInArrow(settle, "row bigint, held_out boolean, n int, ids binary")
+    symbols = materialise(symbols, "symbols-of-texts")
+    known = F.col("n") - F.coalesce("unknown", F.lit(0)) - (0 if end else 1)
+    scored = made.select("row", "doc_id", "held_out", "n", "base").join(sums.select("row", "log", "unknown"), "row", "left")
+    scored = scored.select("row", "doc_id", "held_out", F.col("n").cast("long").alias("n_tokens"), known.cast("long").alias("n_known"), (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score"))
+    scored = materialise(scored, "base-scores")
+    discard(made, sums)
+    return scored, symbols
+
+
+class Tokens(NamedTuple):
+    """Of some tokens: the row of the text, whether it is held out, the symbols before (the last one first) and the symbol."""
+
+    row: np.ndarray
+    held: np.ndarray
+    context: list[np.ndarray]
+    symbol: np.ndarray
+
+    def where(self, on: np.ndarray) -> Tokens:
+        return Tokens(self.row[on], self.held[on], [c[on] for c in self.context], self.symbol[on])
+
+
+def tokens_of(batch: pa.RecordBatch) -> Tokens:
+    """All tokens of a batch whose last symbol of context is no rare word. A context ends at its first rare word."""
+    sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = np.concatenate([unpack(b, n) for b, n in zip(batch.column("ids").to_pylist(), sizes.tolist(), strict=True)] or [np.empty(0, np.int64)])
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(ids)) - starts
+    context, before = [], None
+    for k in range(1, DEPTH + 1):
+        c = np.full(len(ids), NONE, np.int64)
+        c[k:] = ids[:-k]
+        c = np.where(place >= k, c, np.where(place == k - 1, START, NONE))
+        c[c == RARE] = NONE
+        if before is not None:
+            c[(before == NONE) | (before == START)] = NONE
+        context.append(c)
+        before = c
+    row = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), sizes)
+    held = np.repeat(np.array(batch.column("held_out").to_pylist(), bool), sizes)
+    return Tokens(row, held, context, ids).where(context[0] != NONE)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Tokens]:
+    """Tokens of batches, so many or few more at a time."""
+    held, size = [], 0
+    joined = lambda: Tokens(np.concatenate([h.row for h in held]), np.concatenate([h.held for h in held]), [np.concatenate(c) for c in zip(*(h.context for h in held), strict=True)], np.concatenate([h.symbol for h in held]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            held.append(tokens_of(batch.slice(start, 200)))
+            size += len(held[-1].symbol)
+            if size > most:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,224 +237,239 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-# The tree in memory: what the tables hold, for small inputs and for the tests.
+class Buckets(NamedTuple):
+    """How tokens are dealt: hot last symbols and hot pairs (sorted keys) with the buckets that each may use."""
+
+    n: int
+    ones: np.ndarray
+    ones_ways: np.ndarray
+    pairs: np.ndarray
+    pairs_ways: np.ndarray
 
+    def hot_one(self, one: np.ndarray) -> np.ndarray:
+        return _find(self.ones, one)[1]
 
-@dataclass
-class Level:
-    """Retained states of one length: context keys with the weight of the suffix's distribution, and (context, symbol)
-    keys with the discounted relative frequency."""
+    def hot_pair(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return _find(self.pairs, (two << BITS) + one)[1] & (two != NONE)
 
-    contexts: np.ndarray
-    back: np.ndarray
+    def of(self, one: np.ndarray, two: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        mixed = lambda x: ((x * 2654435761) & 0xFFFFFFFF) >> 8
+        at, hot = _find(self.ones, one)
+        ways = np.where(hot, self.ones_ways[at] if len(self.ones) else 1, 1)
+        pair, deep = _find(self.pairs, (two << BITS) + one)
+        spread = np.where(two == NONE, salt, mixed(two) + np.where(deep & (two != NONE), salt % (self.pairs_ways[pair] if len(self.pairs) else 1), 0))
+        return (mixed(one) + spread % ways) % self.n
+
+
+COLUMNS = [f"c{k + 1}" for k in range(DEPTH)]
+
+
+def counted(symbols: DataFrame, buckets: Buckets, levels: range) -> DataFrame:
+    """Counts n of (context, symbol) in training texts, and of contexts (symbol TOTAL), for contexts of so many symbols
+    that end in a hot symbol, or from two on in a hot pair; pre-aggregated in each task in runs of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tokens(batches, DEALT):
+            t = t.where(~t.held & (buckets.hot_one(t.context[0]) if levels.start == 1 else buckets.hot_pair(t.context[0], t.context[1])))
+            for k in levels:
+                u = t.where(t.context[k - 1] != NONE)
+                if not len(u.symbol):
+                    continue
+                none = np.full(len(u.symbol), NONE)
+                columns = [*u.context[:k], *[none] * (DEPTH - k)]
+                for last in (u.symbol, np.full(len(u.symbol), TOTAL)):
+                    order = np.lexsort((last, *columns))
+                    rows = np.stack([c[order] for c in (*columns, last)])
+                    first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)]))
+                    n = np.diff(np.append(first, rows.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(r[first].astype(np.int32)) for r in rows), pa.array(n.astype(np.int64))], names=[*COLUMNS, "symbol", "n"])
+
+    schema = ", ".join(f"{c} int" for c in (*COLUMNS, "symbol")) + ", n bigint"
+    return symbols.mapInArrow(run, schema).groupBy(*COLUMNS, "symbol").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+
+
+class Root(NamedTuple):
+    """The distribution of the empty context: first symbol of each different count, falling, with their probabilities."""
+
+    first: np.ndarray
+    p: np.ndarray
+    rare: float
+    end: float
+
+    def of(self, symbol: np.ndarray) -> np.ndarray:
+        p = self.p[np.maximum(np.searchsorted(self.first, symbol, "right") - 1, 0)] if len(self.p) else np.full(len(symbol), self.rare)
+        return np.where(symbol == RARE, self.rare, np.where(symbol == END, self.end, p))
+
+
+class Level(NamedTuple):
+    """Contexts of one length: which hold (sorted keys of the suffix's number and the symbol before), the suffix of each,
+    keys of (context, symbol) with discounted shares, the weight of the suffix's distribution, and which are states."""
+
+    keys: np.ndarray
+    suffix: np.ndarray
     pairs: np.ndarray
     share: np.ndarray
+    back: np.ndarray
+    passed: np.ndarray
 
-    def smooth(self, context: np.ndarray, symbol: np.ndarray, below: np.ndarray, size: int) -> np.ndarray:
-        """Probabilities in the states named by context where retained, else those of the suffix."""
-        at, there = _find(self.contexts, context)
-        if not there.any():
+    def smooth(self, context: np.ndarray, symbol: np.ndarray, below: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """Probabilities in the states of context (numbers, NONE where there is none), else those below."""
+        if not len(self.keys):
             return below
-        pair, explicit = _find(self.pairs, at * size + symbol)
-        mine = below * self.back[at] + np.where(explicit, self.share[pair] if len(self.share) else 0.0, 0.0)
-        return np.where(there, mine, below)
-
-
-@dataclass
-class Tree:
-    size: int
-    root: np.ndarray
-    levels: list[Level]
-
-    def probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        p = self.root[ids]
-        for level, context in zip(self.levels, (one, two * self.size + one), strict=False):
-            p = level.smooth(context, ids, p, self.size)
-        return p
-
-
-def _level(tree: Tree, contexts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, counts: np.ndarray, order: int, threshold: float) -> tuple[Level, np.ndarray]:
-    """The level of candidate contexts: smoothed, with the divergence of each from its suffix; and which pass."""
-    context, symbol = pairs // tree.size, pairs % tree.size
-    at, there = _find(contexts, context)
-    at, symbol, counts = at[there], symbol[there], counts[there]
-    one = contexts[at] % tree.size
-    two = contexts[at] // tree.size
-    below = tree.probabilities(symbol, one, two)
-    share = (counts - DISCOUNT) / totals[at]
-    n = len(contexts)
-    back = 1 - np.bincount(at, share, n)
-    rest = 1 - np.bincount(at, below, n)
-    p = share + back[at] * below
-    gain = np.bincount(at, p * np.log(p / below), n) + np.maximum(back * rest, 0) * np.log(np.maximum(back, 1e-300))
-    return Level(contexts, back, at * tree.size + symbol, share), totals * gain >= threshold
-
-
-def _kept(level: Level, keep: np.ndarray, size: int) -> Level:
-    new = np.cumsum(keep) - 1
-    at, symbol = level.pairs // size, level.pairs % size
-    on = keep[at]
-    pairs, share = new[at[on]] * size + symbol[on], level.share[on]
-    order = np.argsort(pairs)
-    return Level(level.contexts[keep], level.back[keep], pairs[order], share[order])
-
-
-def _states(pairs: DataFrame, totals: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The level of candidate pairs (context, symbol, n, below, root): their shares, and of contexts the weight back of
-    the suffix's distribution and whether they diverge from it. Contexts without a pair do not differ from it."""
-    sums = pairs.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("held")).join(totals, "context")
-    sums = sums.select("context", "total", (1 - F.col("held") / F.col("total")).alias("back"))
-    shares = pairs.join(sums, "context").withColumn("share", (F.col("n") - DISCOUNT) / F.col("total"))
-    p = F.col("share") + F.col("back") * F.col("below")
-    gains = shares.groupBy("context", "total", "back").agg(F.sum(p * F.log(p / F.col("below"))).alias("gain"), (1 - F.sum("below")).alias("rest"))
-    gain = F.col("gain") + F.greatest(F.col("back") * F.col("rest"), F.lit(0.0)) * F.log(F.greatest(F.col("back"), F.lit(1e-300)))
-    return shares, gains.select("context", "total", "back", (F.col("total") * gain >= threshold).alias("passed"))
-
-
-def grow(training: DataFrame, root: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The tree for training rows of ids, and the totals of contexts of one symbol. Tree rows are one (the last symbol of
-    the context), two, symbol and value: the weight of the suffix's distribution in a retained state if symbol is null,
-    else the share of a symbol there over its probability under the root; two is null in contexts of one symbol.
-    Contexts never hold the class of rare words, which says too little."""
-
-    def pairs_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        ids, one, _, _ = _positions(column)
-        on = one != RARE
-        return one[on], ids[on]
-
-    def triples_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        ids, one, two, _ = _positions(column)
-        on = (one != RARE) & (two != RARE) & (one != START)
-        return (two[on] << BITS) + one[on], ids[on]
-
-    table = materialise(_counted(training, pairs_of), "pst-pairs")
-    frequent = table.where(F.col("n") >= LEAST_COUNT)
-    totals = table.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_COUNT)
-    candidates = frequent.join(root, "symbol").withColumn("below", F.col("root"))
-    shares, states = _states(candidates, totals, threshold)
-    shares = materialise(shares.join(states.select("context", "passed"), "context"), "pst-shares-one")
-    states = materialise(states, "pst-states-one")
-
-    counted = materialise(_counted(training, triples_of).where(F.col("n") >= LEAST_COUNT), "pst-triples")
-    low = F.lit((1 << BITS) - 1)
-    below = F.when(F.col("passed"), F.col("share") + F.col("back") * F.col("root")).otherwise(F.col("root"))
-    one = shares.select(F.col("context").alias("one"), "symbol", "root", below.alias("below"))
-    candidates = counted.withColumn("one", F.col("context").bitwiseAND(low)).join(one, ["one", "symbol"])
-    # A pair is followed as often as it occurs, as it does not end a text.
-    pair_totals = frequent.select((F.shiftleft("context", BITS) + F.col("symbol")).alias("context"), F.col("n").alias("total"))
-    shares_two, states_two = _states(candidates, pair_totals, threshold)
-    states_two = materialise(states_two.where("passed"), "pst-states-two")
-    shares_two = shares_two.join(states_two.select("context"), "context", "left_semi")
-    # A tree holds each suffix of its contexts.
-    suffixes = states_two.select(F.col("context").bitwiseAND(low).alias("context")).distinct().withColumn("suffix", F.lit(True))
-    kept = states.join(suffixes, "context", "left").where("passed or suffix").select("context", "back")
-    no, two = F.lit(None).cast("int"), F.shiftright("context", BITS).cast("int")
-    last = F.col("context").bitwiseAND(low).cast("int")
-    ratio = F.col("share") / F.col("root")
-    parts = [
-        kept.select(last.alias("one"), no.alias("two"), no.alias("symbol"), F.col("back").alias("value")),
-        shares.join(kept.select("context"), "context", "left_semi").select(last.alias("one"), no.alias("two"), F.col("symbol"), ratio.alias("value")),
-        states_two.select(last.alias("one"), two.alias("two"), no.alias("symbol"), F.col("back").alias("value")),
-        shares_two.select(last.alias("one"), two.alias("two"), F.col("symbol"), ratio.alias("value")),
-    ]
-    return materialise(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "pst-tree"), totals
-
-
-def _over_root(tree: pa.Table, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The probability of each symbol in its state, over that under the root."""
-    column = lambda name: tree.column(name).fill_null(-1).to_numpy().astype(np.int64)
-    ones, twos, symbols, values = column("one"), column("two"), column("symbol"), tree.column("value").to_numpy()
-
-    def step(ratio: np.ndarray, deep: bool, context: np.ndarray) -> np.ndarray:
-        on = (twos >= 0) == deep
-        keys = (twos[on] << BITS) + ones[on] if deep else ones[on]
-        s, v = symbols[on], values[on]
-        states = np.argsort(keys[s < 0])
-        names, back = keys[s < 0][states], v[s < 0][states]
-        at, there = _find(names, context)
-        if not there.any():
-            return ratio
-        pairs = (np.searchsorted(names, keys[s >= 0]) << BITS) + s[s >= 0]
-        order = np.argsort(pairs)
-        share = v[s >= 0][order]
-        pair, explicit = _find(pairs[order], (at << BITS) + symbol)
-        return np.where(there, ratio * back[at] + (np.where(explicit, share[pair], 0.0) if len(share) else 0.0), ratio)
-
-    return step(step(np.ones(len(one)), False, one), True, (two << BITS) + one)
-
-
-def scored(rows: DataFrame, tree: DataFrame, totals: DataFrame, tokens: int) -> DataFrame:
-    """row and gain: the sum of the logarithms of its symbols' probabilities over those under the root."""
-    buckets = max(12, -(-tokens // BUCKET))
-    # At most 2 * buckets words are hot, by their shares.
-    ways = F.least(F.lit(buckets), F.ceil(F.col("total") * F.lit(2.0 * buckets / max(1, tokens)))).cast("int")
-    hot = totals.select(F.col("context").cast("int").alias("one"), ways.alias("ways")).where("ways > 1")
-    found = sorted((r["one"], r["ways"]) for r in hot.collect())
-    hot_ones, hot_ways = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
-    factor, low = 2654435761, (1 << 32) - 1
+        pair, explicit = _find(self.pairs, (context << BITS) + symbol)
+        mine = below * self.back[context] + np.where(explicit, self.share[pair] if len(self.share) else 0.0, 0.0)
+        return np.where((context >= 0) & states[context], mine, below)
+
+
+def grow(t: Tokens, given: np.ndarray, buckets: Buckets, root: Root, threshold: float) -> tuple[list[Level], list[np.ndarray]]:
+    """The tree over the contexts of some tokens, and the number of each token's context in each level. Counts of hot
+    contexts are given (rows of DEPTH symbols, symbol and n), those of others are made from the training tokens."""
+    hot = [buckets.hot_one(t.context[0])]
+    hot += [buckets.hot_pair(t.context[0], t.context[1])] * (DEPTH - 1) if DEPTH > 1 else []
+    known = [buckets.hot_one(given[:, 0]), *[buckets.hot_pair(given[:, 0], given[:, 1])] * (DEPTH - 1)] if len(given) else []
+    levels, numbers = [], []
+    number, at = np.zeros(len(t.symbol), np.int64), np.zeros(len(given), np.int64)
+    for k in range(DEPTH):
+        there = (number >= 0) & (t.context[k] != NONE)
+        key = np.where(there, (number << BITS) + t.context[k], NONE)
+        keys = np.unique(key[there])
+        number = np.where(there, np.searchsorted(keys, key), NONE)
+        mine = there & ~t.held & ~hot[k]
+        total = np.bincount(number[mine], minlength=len(keys)).astype(float)
+        pairs, n = np.unique((number[mine] << BITS) + t.symbol[mine], return_counts=True)
+        pairs, n = pairs[n >= LEAST_COUNT], n[n >= LEAST_COUNT].astype(float)
+        if len(given):
+            place, found = _find(keys, (at << BITS) + given[:, k])
+            at = np.where(found & (at >= 0) & (given[:, k] != NONE), place, NONE)
+            exact = (at >= 0) & known[k] & ((given[:, k + 1] == NONE) if k + 1 < DEPTH else True)
+            symbol, count = given[:, DEPTH], given[:, DEPTH + 1].astype(float)
+            sums, own = exact & (symbol == TOTAL), exact & (symbol != TOTAL)
+            total[at[sums]] = count[sums]
+            pairs, n = np.append(pairs, (at[own] << BITS) + symbol[own]), np.append(n, count[own])
+            order = np.argsort(pairs)
+            pairs, n = pairs[order], n[order]
+        context, symbol = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        suffix = keys >> BITS
+        below, up = root.of(symbol), suffix[context] if len(context) else context
+        chain = []
+        for level in reversed(levels):
+            chain.append((level, up))
+            up = level.suffix[up]
+        for level, number_of in reversed(chain):
+            below = level.smooth(number_of, symbol, below, level.passed)
+        share = (n - DISCOUNT) / total[context]
+        back = 1 - np.bincount(context, share, len(keys))
+        rest = np.maximum(1 - np.bincount(context, below, len(keys)), 0)
+        p = share + back[context] * below
+        gain = np.bincount(context, p * np.log(p / below), len(keys)) + back * rest * np.log(np.maximum(back, 1e-300))
+        levels.append(Level(keys, suffix, pairs, share, back, total * gain >= threshold))
+        numbers.append(number)
+    return levels, numbers
+
+
+def over_root(t: Tokens, given: np.ndarray, buckets: Buckets, root: Root, threshold: float) -> np.ndarray:
+    """The logarithm of each token's probability in its state over that under the root."""
+    levels, numbers = grow(t, given, buckets, root, threshold)
+    states, longer = [], None
+    for level in reversed(levels):  # a tree holds each suffix of its contexts
+        kept = level.passed.copy()
+        if longer is not None:
+            kept[longer[0].suffix[longer[1]]] = True
+        states.append(kept)
+        longer = level, kept
+    p = first = root.of(t.symbol)
+    for level, number, kept in zip(levels, numbers, reversed(states), strict=True):
+        p = level.smooth(number, t.symbol, p, kept)
+    return np.log10(p / first)
+
+
+def scored(symbols: DataFrame, root: Root, totals: dict[int, int], tokens: int, threshold: float) -> DataFrame:
+    """row and gain: the sum of the logarithms of its symbols' probabilities over those under the root. totals: how often
+    the hot symbols among contexts occur in training texts."""
+    n = max(BUCKETS, -(-tokens // BUCKET))
+    share = max(1, tokens // n)
+    ways = lambda c: min(n, -(-c // share))
+    ones = sorted(s for s, c in totals.items() if c > 2 * share)
+    none = np.empty(0, np.int64)
+    buckets = Buckets(n, np.array(ones, np.int64), np.array([ways(totals[s]) for s in ones], np.int64), none, none)
+    given = None
+    if ones:
+        given = materialise(counted(symbols, buckets, range(1, 2)), "pst-hot-symbols")
+        # A hot pair is a hot symbol after a hot context; there are at most n / 2 of them.
+        hot = given.where((F.col("n") > 2 * share) & F.col("symbol").isin(ones)).select(F.col("c1").alias("two"), F.col("symbol").alias("one"), "n").collect()
+        keyed = sorted(((r["two"] << BITS) + r["one"], ways(r["n"])) for r in hot)
+        buckets = buckets._replace(pairs=np.array([k for k, _ in keyed], np.int64), pairs_ways=np.array([w for _, w in keyed], np.int64))
+        if keyed and DEPTH > 1:
+            given = given.union(materialise(counted(symbols, buckets, range(2, DEPTH + 1)), "pst-hot-pairs"))
+    names = ["n", "rows", "held", "at", *COLUMNS, "symbol"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            row, one, two, symbol = (np.concatenate(x) for x in zip(*held, strict=True))
-            at, there = _find(hot_ones, one)
-            salt = np.where(there, (((row * 40503) & 0xFFFFF) >> 4) % (hot_ways[at] if len(hot_ways) else 1), 0)
-            bucket = ((((one * factor) & low) >> 8) + salt) % buckets
-            order = np.lexsort((symbol, two, one, bucket))
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for t in _tokens(batches, DEALT):
+            salt = ((t.row * 40503) & 0xFFFFF) >> 4
+            bucket = buckets.of(t.context[0], t.context[1] if DEPTH > 1 else np.full(len(t.row), NONE), salt)
+            order = np.lexsort((t.symbol, *t.context[::-1], bucket))
+            cut = np.searchsorted(bucket[order], np.arange(n + 1))
             for b in np.flatnonzero(np.diff(cut)):
-                some = order[cut[b] : cut[b + 1]]
-                packed = [row[some].tobytes(), *(x[some].astype(np.int32).tobytes() for x in (one, two, symbol))]
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "rows", "one", "two", "symbol"])
+                u = t.where(order[cut[b] : cut[b + 1]])
+                rows, first, at = np.unique(u.row, return_index=True, return_inverse=True)
+                made = [len(u.symbol), rows.tobytes(), u.held[first].tobytes(), *map(pack, (at, *u.context, u.symbol))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array(made[:1], pa.int32()), *(pa.array([x], pa.binary()) for x in made[1:])], names=["bucket", *names])
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                ids, one, two, _ = _positions(part.column("ids"))
-                row = np.repeat(part.column("row").to_numpy(), part.column("ids").value_lengths().to_numpy())
-                on = one != RARE
-                held.append((row[on], one[on], two[on], ids[on]))
-                size += int(on.sum())
-                if size > 2 * HELD:
-                    yield from out()
-                    held, size = [], 0
-        if size:
-            yield from out()
-
-    def score(sent: pa.Table, tree: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.frombuffer(b"".join(sent.column(name).to_pylist()), kind).astype(np.int64)
-        row = read("rows", np.int64)
-        logs = np.log10(_over_root(tree, read("one", np.int32), read("two", np.int32), read("symbol", np.int32)))
-        different, at = np.unique(row, return_inverse=True)
-        return pa.table({"row": different, "gain": np.bincount(at, logs, len(different)).astype(np.float64)})
-
-    sent = rows.select("row", "ids").mapInArrow(deal, "bucket int, rows binary, one binary, two binary, symbol binary")
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))
-    bucket = (F.shiftright((F.col("one").cast("bigint") * F.lit(factor)).bitwiseAND(F.lit(low)), 8) + F.col("salt")) % buckets
-    parts = tree.join(F.broadcast(hot), "one", "left").withColumn("salt", salts).select(bucket.cast("int").alias("bucket"), "one", "two", "symbol", "value")
-    return sent.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(score, "row bigint, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            one, two = columns[0], columns[1] if DEPTH > 1 else np.full(batch.num_rows, NONE)
+            at, _ = _find(buckets.ones, one)
+            pair, deep = _find(buckets.pairs, (two << BITS) + one)
+            times = np.where(two == NONE, buckets.ones_ways[at], np.where(deep, buckets.pairs_ways[pair] if len(buckets.pairs) else 1, 1))
+            # A pair's buckets need the counts of its symbol too, and they are among those of the symbol.
+            row = np.repeat(np.arange(len(one)), times)
+            salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            to = buckets.of(one[row], two[row], salt)
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(c.take(pa.array(row)) for c in batch.columns)], names=["bucket", *batch.schema.names])
+
+    def score(sent: pa.Table, given: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "gain": pa.array([], pa.float64())})
+        parts = []
+        for m in sent.to_pylist():
+            at, *context, symbol = (unpack(m[c], m["n"]) for c in ("at", *COLUMNS, "symbol"))
+            parts.append(Tokens(np.frombuffer(m["rows"], np.int64)[at], np.frombuffer(m["held"], bool)[at], context, symbol))
+        t = Tokens(np.concatenate([p.row for p in parts]), np.concatenate([p.held for p in parts]), [np.concatenate(c) for c in zip(*(p.context for p in parts), strict=True)], np.concatenate([p.symbol for p in parts]))
+        known = np.stack([given.column(c).to_numpy().astype(np.int64) for c in (*COLUMNS, "symbol", "n")], 1) if given.num_rows else np.empty((0, DEPTH + 2), np.int64)
+        logs = over_root(t, known, buckets, root, threshold)
+        rows, at = np.unique(t.row, return_inverse=True)
+        return pa.table({"row": rows, "gain": np.bincount(at, logs, len(rows)).astype(np.float64)})
+
+    schema = "bucket int, n int, " + ", ".join(f"{c} binary" for c in names[1:])
+    sent = symbols.mapInArrow(deal, schema)
+    wide = "bucket int, " + ", ".join(f"{c} int" for c in (*COLUMNS, "symbol")) + ", n bigint"
+    sides = given.mapInArrow(send, wide) if given is not None else symbols.sparkSession.createDataFrame([], wide)
+    return sent.groupBy("bucket").cogroup(sides.groupBy("bucket")).applyInArrow(score, "row bigint, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
 def scores(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    counts = materialise(word_counts(docs.select("doc_id", "text").where(~held_out())), "word-counts")
+    training = docs.select("doc_id", "text").where(~held_out())
+    counts = materialise(word_counts(training), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total = n + SMOOTHING * (v + 1)
-    frequent = numbered(counts)
-    rows = encoded(docs, frequent, counts.where("word != ''"), total, ends)
-    known, kinds = frequent.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    vocabulary = numbered(counts)
+    rows, symbols = encoded(docs, vocabulary, total, ends)
+    frequent = vocabulary.where(F.col("symbol") >= FIRST)
+    steps = sorted(frequent.groupBy("c").agg(F.count("*").alias("n"), F.min("symbol").alias("first")).collect(), key=lambda r: r["first"])
+    known, kinds = sum(r["c"] * r["n"] for r in steps), sum(r["n"] for r in steps)
     end = (ends + SMOOTHING) / total
     rare = max(1e-300, 1 - end - (known + SMOOTHING * kinds) / total)
-    others = docs.sparkSession.range(2).select(F.col("id").cast("int").alias("symbol"), F.when(F.col("id") == RARE, F.lit(rare)).otherwise(F.lit(end)).alias("root"))
-    root = frequent.select(F.col("symbol").cast("int"), ((F.col("c") + SMOOTHING) / F.lit(total)).alias("root")).union(others)
-    tree, totals = grow(rows.where("not held_out"), root, threshold)
-    gains = scored(rows, tree, totals, n)
+    root = Root(np.array([r["first"] for r in steps], np.int64), (np.array([r["c"] for r in steps], float) + SMOOTHING) / total, rare, end)
+    # Only symbols of over 1 / BUCKETS of the tokens, or of over BUCKET of them, can be hot.
+    hot = frequent.where(F.col("c") > min(BUCKET, n / BUCKETS)).select("symbol", "c").collect()
+    gains = scored(symbols, root, {r["symbol"]: r["c"] for r in hot} | {START: ends}, n, threshold)
     return rows.join(gains, "row", "left").select(
         "doc_id",
         "held_out",
-        F.size("ids").cast("long").alias("n_tokens"),
+        "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         "base_score",

@@ -140,14 +140,75 @@ def test_language_model(spark):
     assert suffix_tree.query(spark, frame(spark, [], "doc_id bigint, text string")).collect() == []
 
 
-def test_tree_distributions_sum_to_one():
-    import numpy as np
-
-    tree = suffix_tree.Tree(5, np.array([0.3, 0.2, 0.0, 0.25, 0.25]), [])
-    level, keep = suffix_tree._level(tree, np.array([3]), np.array([100.0]), np.array([3 * 5 + 4, 3 * 5 + 1]), np.array([90.0, 5.0]), 1, 1.0)
-    tree.levels = [suffix_tree._kept(level, keep, 5)]
-    p = tree.probabilities(np.arange(5), np.full(5, 3), np.zeros(5, np.int64))
-    assert keep.all() and math.isclose(p.sum(), 1) and p[4] > 0.85
+def plain_tree_scores(rows, depth, least, discount, threshold):
+    """Scores by a suffix tree held in dictionaries."""
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    counts = Counter(w for i, t in rows if not out(i) for w in tokens(t))
+    total = sum(counts.values()) + 0.1 * (len(counts) + 1)
+    often = {w for w, c in counts.items() if c >= least or not w}
+    root = {w: (counts[w] + 0.1) / total for w in often}
+    root["rare"] = 1 - sum(root.values())
+    symbols = lambda t: [w if w in often else "rare" for w in tokens(t)]
+
+    def contexts(s, i):  # last symbol first
+        found, made = [], ()
+        for w in [*s[:i][::-1], "start"][:depth]:
+            if w == "rare":
+                break
+            made += (w,)
+            found.append(made)
+        return found
+
+    n, totals = {}, Counter()
+    for i, t in rows:
+        if not out(i):
+            s = symbols(t)
+            for k, w in enumerate(s):
+                for c in contexts(s, k):
+                    n.setdefault(c, Counter())[w] += 1
+                    totals[c] += 1
+    n = {c: {w: x for w, x in v.items() if x >= least} for c, v in n.items()}
+
+    def p(c, w, states):
+        while c and c not in states:
+            c = c[:-1]
+        if not c:
+            return root[w]
+        shares = sum(x - discount for x in n[c].values()) / totals[c]
+        return max(0, n[c].get(w, 0) - discount) / totals[c] + (1 - shares) * p(c[:-1], w, states)
+
+    states = set()
+    for k in range(1, depth + 1):
+        for c in [c for c in n if len(c) == k and n[c]]:
+            back = 1 - sum(x - discount for x in n[c].values()) / totals[c]
+            below = {w: p(c[:-1], w, states) for w in n[c]}
+            own = {w: (x - discount) / totals[c] + back * below[w] for w, x in n[c].items()}
+            gain = sum(own[w] * math.log(own[w] / below[w]) for w in own) + max(back * (1 - sum(below.values())), 0) * math.log(max(back, 1e-300))
+            if totals[c] * gain >= threshold:
+                states.add(c)
+    states |= {c[:k] for c in states for k in range(1, len(c))}
+    made = []
+    for i, t in rows:
+        s = symbols(t)
+        gains = [math.log10(p((contexts(s, k) or [()])[-1], w, states) / root[w]) for k, w in enumerate(s)]
+        made.append((i, sum(math.log10((counts[w] + 0.1) / total) for w in tokens(t)) + sum(gains)))
+    return made, states
+
+
+def test_language_model_scores_are_those_of_a_plain_tree(spark, monkeypatch):
+    r = random.Random(12)
+    phrases = ["the old house of the hill".split(), "the old man".split(), "of the sea".split(), ["new"], ["the"], ["a", "of"]]
+    rows = [(i, " ".join(x for _ in range(r.choice([1, 8, 60])) for x in [*r.choice(phrases), *([f"q{r.randrange(300)}"] if r.random() < 0.3 else [])])) for i in range(200)]
+    rows += [(500, None), (None, "the old house"), (3, rows[3][1]), (501, "the " * 20_000)]
+    docs = frame(spark, rows, "doc_id bigint, text string")
+    want, states = plain_tree_scores(rows, suffix_tree.DEPTH, suffix_tree.LEAST_COUNT, suffix_tree.DISCOUNT, suffix_tree.THRESHOLD)
+    assert {len(c) for c in states} == set(range(1, suffix_tree.DEPTH + 1))
+    want = Counter((i, round(s, 4)) for i, s in want)
+    assert Counter((x.doc_id, round(x.score, 4)) for x in suffix_tree.query(spark, docs).collect()) == want
+    monkeypatch.setattr(suffix_tree, "HEAD", 2)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 300)  # hot symbols and hot pairs
+    assert Counter((x.doc_id, round(x.score, 4)) for x in suffix_tree.query(spark, docs).collect()) == want
 
 
 def test_ordinal_classifier(spark):
