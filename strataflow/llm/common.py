@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session without one (tests) gets a local temporary folder."""
+    """The folder that driver and executors share. A local session without one (tests) gets a temporary folder; on a
+    cluster a machine's own folder would not be seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="strataflow-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

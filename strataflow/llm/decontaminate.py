@@ -3,10 +3,12 @@
 Words are runs of letters and digits in lower case, shingles five words (a shorter item is one shingle of all its
 words). An item leaks into a document if at least CONTAINMENT of its different shingles occur there.
 
-Shingles are ordered by a hash, as in MinHash, and an item keeps its smallest ones: of n shingles at most
+Shingles are ordered by a hash, and an item's MinHash sketch is its smallest ones (bottom-k): of n shingles at most
 n - ceil(0.8 n) may be missing from a document that holds the item, so the first n - ceil(0.8 n) + 1 must meet it in
 one at least. Items are partitioned by size (powers of two); each partition has one length of signature, that of its
-largest item, so no link is lost. A document's shingles are looked up in the signatures, never in other documents,
+largest item, so no link is lost. Documents get no sketch of
+their own: an item of 20 shingles in a document of 2,000 is one hundredth of it, so minima over the whole document
+meet the item's too seldom. All of a document's shingles are looked up in the signatures, never in other documents,
 and a document with too few shingles for a partition is no candidate there. Candidates are then verified: all their
 item's shingles are counted in the document.
 
@@ -74,8 +76,9 @@ def _document_shingles(docs: DataFrame, widths: list[int], *keep: str) -> DataFr
     return rows.select(*keep, F.size("hs").alias("n_grams"), F.explode_outer("hs").alias("h")).where("h is not null")
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT, width: int = SHINGLE) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_found and containment for each pair that reaches it."""
+def leaking_rows(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT, width: int = SHINGLE) -> DataFrame:
+    """doc_id, __row (a digest of the text), item_id, n_shingles (of the item) and n_found for each pair that reaches
+    the containment."""
     shingled = materialise(item_shingles(items.select("item_id", "text"), width), "item-shingles")
     widths = sorted(x.width for x in shingled.select("width").distinct().collect()) or [width]  # five at most
     source = docs.select("doc_id", "text")
@@ -86,16 +89,21 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT, width:
     found = _document_shingles(again, widths, "doc_id", "__row").join(broadcast_if_small(shingled.drop("width"), MOST_SHINGLES), "h")
     counted = found.groupBy("doc_id", "__row", "item_id").agg(F.first("n").alias("n_shingles"), F.countDistinct("h").alias("n_found"))
     counted = counted.where(F.col("n_found") >= _need(F.col("n_shingles"), least))
-    best = counted.groupBy("doc_id", "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
     searched = candidates.select(F.col("doc_id").alias("__d"), F.col("item_id").alias("__i"))
-    verified = best.join(searched, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("item_id").eqNullSafe(F.col("__i")), "left_semi")
-    return verified.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    return counted.join(searched, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("item_id").eqNullSafe(F.col("__i")), "left_semi")
+
+
+def leaks(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT, width: int = SHINGLE) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_found and containment for each pair that reaches it."""
+    best = leaking_rows(docs, items, least, width).groupBy("doc_id", "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    return best.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those whose id belongs to a document that holds an item."""
-    ids = materialise(leaks(docs, items).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(broadcast_if_small(ids, MOST_IDS), F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+    """docs without those that hold an item. Rows that share an id are judged each by its text."""
+    found = leaking_rows(docs, items).select(F.col("doc_id").alias("__leaked"), F.col("__row").alias("__text")).distinct()
+    gone = broadcast_if_small(materialise(found, "leaked"), MOST_IDS)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__leaked")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
 
 
 def query(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:

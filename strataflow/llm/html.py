@@ -12,12 +12,15 @@ which happens to short lines between long ones; or if it is a heading right befo
 (a block, a list or a table) whose text is mostly links go. If a block in an article or main element is content, only
 such elements count.
 
-Null html is empty; a page without content has the empty text. Repeated pages keep a row each.
+Null html is empty; a page without content has the empty text. Repeated pages keep a row each; an empty table gives no
+rows. Work is linear in a page's length, stray end tags included. A form counts as boilerplate unless it stands around
+an article or main element; main closes menus and asides left open before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -61,13 +64,16 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate by itself
+        self.open: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a name
         self.dropped = self.mains = self.regions = self.tags = self.anchors = self.headings = self.links = self.elements = 0
         self.blocks, self.clusters = [0], [0]  # numbers of the open ones
         self.text: list[str] = []
 
     def _end_line(self) -> None:
         if self.text and (line := " ".join("".join(self.text).split())):
-            region = None if self.dropped else self.regions if self.mains else 0
+            # A form around an article or main element is the page's frame.
+            framed = self.dropped == len(self.open["form"]) and self.mains and self.open["form"] and self.open["form"][-1] < min(self.open[m][0] for m in MAIN if self.open[m])
+            region = None if self.dropped and not framed else self.regions if self.mains else 0
             self.lines.append(Line(line, self.tags, region, min(self.links, len(line)), self.blocks[-1], self.clusters[-1], self.headings > 0))
             self.tags = 0
         self.text, self.links = [], 0
@@ -83,8 +89,13 @@ class _Lines(HTMLParser):
         named = dict(attrs)
         marks = f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()
         bad = tag in DROPPED or "hidden" in named or named.get("role") in ROLES or tag not in ("html", "body") and not MARKED.isdisjoint(marks)
+        if tag == "main":  # may not stand in these, so they were left open
+            for other in ("nav", "header", "footer", "aside"):
+                if self.open[other]:
+                    self._close(self.open[other][0])
         if bad and not self.dropped:
             self._end_line()
+        self.open[tag].append(len(self.stack))
         self.stack.append((tag, bad))
         self.dropped += bad
         self.anchors += tag == "a"
@@ -102,16 +113,15 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._end_line()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._close(i)
-                break
-            if self.stack[i][0] in ("body", "html") or self.stack[i][0] in MAIN and tag in INLINE | {"p"}:
-                break
+        last = lambda names: max((self.open[n][-1] for n in names if self.open[n]), default=-1)
+        barrier = last(("body", "html", *MAIN) if tag in INLINE or tag == "p" else ("body", "html"))
+        if self.open[tag] and self.open[tag][-1] >= barrier:
+            self._close(self.open[tag][-1])
 
     def _close(self, at: int) -> None:
         while len(self.stack) > at:
             tag, bad = self.stack.pop()
+            self.open[tag].pop()
             if bad:
                 self._end_line()
             self.dropped -= bad
@@ -180,7 +190,8 @@ def main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataF
                 made = pa.array([extract(x) for x in part.column(html).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), made], names=["page_id", "url", name])
 
-    return pages.select("page_id", "url", html).mapInArrow(run, f"page_id bigint, url string, `{name}` string")
+    rows = pages.select("page_id", "url", html)
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, `{name}` string")
 
 
 def query(spark: SparkSession, pages: DataFrame) -> DataFrame:

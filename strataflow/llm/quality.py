@@ -136,8 +136,12 @@ def thresholds(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rule
 
 
 def cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The thresholds for documents with doc_id, lang and __m, from those that labels call good."""
-    good = broadcast_if_small(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct(), MOST_LABELS)
+    """The thresholds for documents with doc_id, lang and __m, from those that labels call good and not toxic.
+    The bound holds for good documents that pass the fixed rules; what those reject is not counted."""
+    wanted = F.col("quality") == 1
+    if "toxic" in labels.columns:
+        wanted &= F.coalesce(F.col("toxic"), F.lit(0)) != 1
+    good = broadcast_if_small(labels.where(wanted).select(F.col("doc_id").alias("__id")).distinct(), MOST_LABELS)
     holdout = marked.join(good, F.col("doc_id") == F.col("__id"), "left_semi").where(~base_failed())
     return thresholds(holdout.select("lang", "__m"), alpha, delta)
 

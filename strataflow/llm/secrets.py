@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index. Spark functions only.
 
-Each rule is a regular expression with a Boolean trigram query derived from its mandatory literals: all trigrams of
-every literal of one alternative must occur. Postings (trigram, document) are built for the trigrams that some rule
-asks for, from lower-cased texts; they are intersected by grouping on the document, and only documents that satisfy a
-rule's query are read again and verified with the expression itself. Rules without mandatory trigrams scan all texts.
+Each rule is a regular expression; its Boolean trigram query is derived from the expression itself (see trigrams.py): a
+disjunction of sets of trigrams, one of which occurs in any match. Postings (trigram, document) are built for the
+trigrams that some rule asks for, from lower-cased texts; they are intersected by grouping on the document, and only
+documents that satisfy a rule's query are read again and verified with the expression itself. Rules without mandatory
+trigrams scan all texts.
 
 Spans are code points, end exclusive; matches are leftmost and do not overlap within a kind. Null texts count as
 empty. Rows are told apart by doc_id and a digest of the text, so repeated rows keep a row each.
@@ -11,11 +12,12 @@ empty. Rows are told apart by doc_id and a digest of the text, so repeated rows
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.llm import trigrams
 from strataflow.llm.common import broadcast_if_small, materialise
 
 #: Documents (about 40 bytes each) up to which candidates are broadcast.
@@ -24,31 +26,28 @@ MOST_CANDIDATES = 500_000
 
 @dataclass(frozen=True)
 class Rule:
-    """kind, expression, alternatives (each a list of literals that any match holds, letters in either case), and the
-    group whose length must reach least."""
+    """kind, expression, and the group whose length must reach least."""
 
     kind: str
     pattern: str
-    literals: list[list[str]] = field(default_factory=list)
     group: int = 0
     least: int = 0
 
     def query(self) -> list[list[str]]:
-        """The trigram query: a disjunction of conjunctions; empty where some alternative has no trigram."""
-        found = [sorted({x[i : i + 3].lower() for x in alternative for i in range(len(x) - 2)}) for alternative in self.literals]
-        return found if all(found) else []
+        """The trigram query: a disjunction of conjunctions; empty where a match needs no trigram."""
+        return trigrams.query(self.pattern)
 
 
 #: The first three are the base rules, in the order that breaks ties of equal starts.
 RULES = (
-    Rule("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", [["password"], ["passwd"], ["secret"], ["token"], ["api", "key"]], 1, 6),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", [["AKIA"]]),
+    Rule("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", [["-----BEGIN ", "PRIVATE KEY-----"]]),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", [["ghp_"], ["gho_"], ["ghu_"], ["ghs_"], ["ghr_"]]),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", [["xox"]]),
-    Rule("google", r"AIza[0-9A-Za-z_-]{35}", [["AIza"]]),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", [["eyJ", ".eyJ"]]),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
@@ -74,10 +73,10 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), made).otherwise(none)
 
 
-def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+def postings(rows: DataFrame, asked: list[str]) -> DataFrame:
     """The inverted index: trigram and __id, __digest of each row whose lower-cased text holds it."""
     low = rows.select("__id", "__digest", F.lower("__t").alias("__low"))
-    present = F.filter(F.array(*(F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
+    present = F.filter(F.array(*(F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in asked)), lambda t: t.isNotNull())
     return low.select("__id", "__digest", F.explode_outer(present).alias("trigram")).where("trigram is not null")
 
 

@@ -4,6 +4,9 @@ Each task writes gzip archives (one member a record) into the shared folder and
 task that succeeded reports is read again, so files of lost or repeated attempts do no harm. The reader checks each
 member (header, CRC, record length, block and payload digests). After a failed check it searches for the next valid
 member, or in plain files the next version line, goes on from there, and logs the bytes between as a quarantined gap.
+In a member of several records, damage costs only the records that it meets: those before it are read from what can be
+inflated, those after it, where the member is whole, from the next version line on. Records may be of any size; one
+that claims more bytes than its archive has left is damaged.
 
 Null html counts as an empty payload. Rows with equal page_id are records of their own. Of records with equal
 payloads of MIN_REVISIT bytes or more, those with the largest page_id are responses and others revisit it.
@@ -30,8 +33,6 @@ MIN_REVISIT = 1000
 MOST_BROADCAST = 200_000
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES, STEP = 1 << 20, 1 << 14
-#: A record that takes more bytes than this counts as damaged, so that a false start cannot hold a whole archive.
-MOST_BYTES = 1 << 28
 VERSION = b"WARC/1.1\r\n"
 #: What a version line, a record id of ours and a gzip member begin with.
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -70,7 +71,11 @@ def member(record: bytes, level: int = 6) -> bytes:
 
 
 class BadRecord(ValueError):
-    """A record that fails a check."""
+    """A record that fails a check; short if more bytes might mend it."""
+
+    def __init__(self, reason: str, short: int | None = None):
+        super().__init__(reason)
+        self.short = short
 
 
 def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
@@ -78,7 +83,7 @@ def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
     if not (line := VERSION_LINE.match(data, start)):
         raise BadRecord("no version line")
     if (end := data.find(b"\r\n\r\n", line.end() - 2)) < 0:
-        raise BadRecord("header without end")
+        raise BadRecord("header without end", 0)
     head = {}
     for x in data[line.end() : end].split(b"\r\n"):
         name, colon, value = x.partition(b":")
@@ -89,7 +94,7 @@ def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
         raise BadRecord("no content length")
     block = data[end + 4 : (stop := end + 4 + int(length))]
     if len(block) < int(length):
-        raise BadRecord("cut short")
+        raise BadRecord("cut short", stop + 4 - start)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise BadRecord("no end of record")
     if (digest := head.get("warc-block-digest")) and digest != _sha1(block):
@@ -108,18 +113,36 @@ def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
     return found, stop + 4
 
 
-def _inflate(data: bytes, start: int) -> tuple[bytes, int]:
-    """The gzip member at start and where it ends."""
+def _inflate(data: bytes, start: int) -> tuple[bytes, int, BadRecord | None]:
+    """What can be inflated of the gzip member at start, where it ends, and what is wrong with it."""
     z, view, out, at = zlib.decompressobj(31), memoryview(data), [], start
     try:
         while not z.eof and at < len(data):
             out.append(z.decompress(view[at : at + STEP]))
             at += STEP
     except zlib.error as e:
-        raise BadRecord(f"gzip: {e}") from None
+        return b"".join(out), at, BadRecord(f"gzip: {e}")
     if not z.eof:
-        raise BadRecord("gzip: cut short")
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
+        return b"".join(out), at, BadRecord("gzip: cut short", 0)
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), None
+
+
+def records_of(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The records of a member's bytes, and the stretches between them that hold none (start, end, reason)."""
+    found, lost, pos = [], [], 0
+    while pos < len(data):
+        try:
+            record, pos = parse(data, pos)
+            found.append(record)
+        except BadRecord as e:
+            line = VERSION_LINE.search(data, pos + 1)
+            end = line.start() if line else len(data)
+            if lost and lost[-1][1] == pos:  # a false start inside the damaged stretch
+                lost[-1] = (lost[-1][0], end, lost[-1][2])
+            else:
+                lost.append((pos, end, str(e)))
+            pos = end
+    return found, lost
 
 
 class _Window:
@@ -139,31 +162,34 @@ class _Window:
         self.data, self.base = self.data[n:], self.base + n
 
 
-def salvage(stream) -> Iterator[tuple[str, dict]]:
-    """("record", record) and ("gap", offset, length, reason) of an archive, in order of offset.
+def salvage(stream, size: int | None = None) -> Iterator[tuple[str, dict]]:
+    """("record", record) and ("gap", offset, length, reason) of an archive, in order of offset. size is that of the
+    archive, where known. A gap inside a whole member has the member's offset and length, and its reason the place.
 
     A member or record is read with as many bytes as it turns out to need. A false start inside a damaged stretch is
     only taken if all its checks hold.
     """
     w = _Window(stream)
 
-    def attempt(at: int) -> tuple[list[dict], int]:
+    def attempt(at: int) -> tuple[list[dict], int | None, list[tuple[int, int, str]], str]:
+        """Records, where they end (None in a damaged stretch), stretches lost inside a member, and what is wrong."""
         while True:
+            if w.data.startswith(GZIP_MAGIC, at):
+                data, end, bad = _inflate(w.data, at)
+                if bad is None:
+                    found, lost = records_of(data)
+                    return (found, end, lost, "") if found or not data else (found, None, [], lost[0][2])
+                if bad.short is None or not w.more():
+                    return records_of(data)[0], None, [], str(bad)
+                continue
             try:
-                if not w.data.startswith(GZIP_MAGIC, at):
-                    record, end = parse(w.data, at)
-                    return [record], end
-                data, end = _inflate(w.data, at)
-                found, pos = [], 0
-                while pos < len(data):
-                    record, pos = parse(data, pos)
-                    found.append(record)
-                return found, end
-            except BadRecord:
-                held = len(w.data) - at
-                whole = w.data[at : at + 3] not in (GZIP_MAGIC, VERSION[:3]) and held > 16
-                if whole or held > MOST_BYTES or not w.more():
-                    raise
+                record, end = parse(w.data, at)
+                return [record], end, [], ""
+            except BadRecord as e:
+                few = len(w.data) - at <= 16 or w.data.startswith(VERSION[:5], at) and e.short is not None
+                beyond = size is not None and e.short and w.base + at + e.short > size
+                if not few or beyond or not w.more():
+                    return [], None, [], str(e)
 
     def following(at: int) -> int:
         """The next place that looks like a member or a version line, or the end; lets go of the bytes before."""
@@ -179,18 +205,19 @@ def salvage(stream) -> Iterator[tuple[str, dict]]:
 
     gap, reason, at = None, "", 0
     while at < len(w.data) or w.more():
-        try:
-            found, end = attempt(at)
-        except BadRecord as e:
-            if gap is None:
-                gap, reason = w.base + at, str(e)
-            at = following(at + 1)
-            continue
-        if gap is not None:
+        found, end, lost, why = attempt(at)
+        if gap is not None and (end is not None or found):
             yield "gap", {"offset": gap, "length": w.base + at - gap, "reason": reason}
             gap = None
         for record in found:
             yield "record", record | {"offset": w.base + at}
+        if end is None:
+            if gap is None:
+                gap, reason = w.base + at, why
+            at = following(at + 1)
+            continue
+        for start, stop, said in lost:
+            yield "gap", {"offset": w.base + at, "length": end - at, "reason": f"bytes {start} to {stop} of the member: {said}"}
         at = end
         if at >= READ_BYTES:
             w.drop(at)
@@ -204,7 +231,7 @@ def _open(path: str, mode: str):
     if mode == "w":
         fs.create_dir(inner.rpartition("/")[0], recursive=True)
         return fs.open_output_stream(inner, compression=None)
-    return fs.open_input_stream(inner, compression=None)
+    return fs.open_input_file(inner)
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -244,7 +271,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def rows(path: str) -> Iterator[dict]:
         with _open(path, "r") as stream:
-            for kind, x in salvage(stream):
+            for kind, x in salvage(stream, stream.size()):
                 if kind == "gap":
                     yield {"kind": kind, "archive": path, "offset": x["offset"], "gap_length": x["length"], "gap_reason": x["reason"]}
                 else:

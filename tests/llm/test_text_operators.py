@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe, chat, html, ordinal, quality, secrets, suffix_tree
+from strataflow.llm import bpe, chat, html, ordinal, quality, secrets, suffix_tree, trigrams
 from tests.llm.util import frame
 
 ODD = [None, "", " \n\t ", "é ü 日本 \U0001f600 it's 12³ \x85 \x1c x", "a" * 100_000, "De " * 5000, "same text here", "same text here", "line one\nline one\n\nx\n x", "A-Z  \r\n  mixed\x0bcase "]
@@ -106,10 +107,48 @@ def test_secrets(spark):
     masked = secrets.redact(docs)
     assert masked.columns == docs.columns and masked.count() == len(rows)
     assert not masked.where("text like '%hunter22%' or text like '%zzzzzz%' or text like '%xyzxyz%'").count()
-    assert secrets.Rule("x", "a+").query() == [] and secrets.Rule("x", "abcd", [["abcd"]]).query() == [["abc", "bcd"]]
+    assert secrets.Rule("x", "a+").query() == [] and secrets.Rule("x", "abcd").query() == [["abc", "bcd"]]
     assert secrets.query(spark, docs.limit(0)).collect() == []
 
 
+SAMPLES = {
+    "assign": "api_key = 'abcdef",
+    "access": "AKIA" + "Z9" * 8,
+    "hex": "0123456789abcdef" * 2,
+    "private_key": "-----BEGIN EC PRIVATE KEY-----",
+    "github": "ghs_" + "aB3" * 12,
+    "slack": "xoxb-12345-abcdef",
+    "google": "AIza" + "x" * 35,
+    "jwt": "eyJhbGciOiJ.eyJzdWIiOiI.sflKxwRJSM",
+}
+
+
+def test_every_rule_is_found_through_its_trigrams(spark):
+    assert set(SAMPLES) == {r.kind for r in secrets.RULES}
+    rows = [(i, f"some text, then {x} and more") for i, x in enumerate(SAMPLES.values())] + [(100, "nothing to see"), (101, None)]
+    got = {x.doc_id: x.spans for x in secrets.query(spark, frame(spark, rows, "doc_id bigint, text string")).collect()}
+    for i, (kind, x) in enumerate(SAMPLES.items()):
+        assert f"{kind}:16:{16 + len(x)}" in got[i].split(",")
+    assert got[100] == got[101] == ""
+    only_hex = [r.kind for r in secrets.RULES if not r.query()]
+    assert only_hex == ["hex"]  # the rule without mandatory trigrams scans all texts
+
+
+def test_trigram_queries_hold_in_every_match():
+    assert trigrams.query("abc|de") == [] and trigrams.query("(abc|xyz)+q?") == [["abc"], ["xyz"]]
+    assert trigrams.query("a[bc]d.*EFG") == [["abd", "efg"], ["acd", "efg"]]
+    assert trigrams.query(r"x{3}\.y") == [["x.y", "xx.", "xxx"]]
+    assert trigrams.query("(?:ab)?cde?f*") == [] and trigrams.query("[^a]bc") == []
+    r = random.Random(2)
+    for pattern in ["(foo|ba[rz])+[0-9]{2,}quux?", "a?bcd(e|fgh){2}", "se(c|k)ret[: ]+val", "ab(cd|ef)*gh", "q{4}w{2,3}e"]:
+        asked, letters = trigrams.query(pattern), "abcdefghkoqrstuvwxz019: l"
+        tried = ["".join(r.choices(letters, k=6)) for _ in range(20)]
+        tried += ["foobar12quu", "baz99quux", "bcdefgh", "abcdee", "sekret: val", "secret:val", "abgh", "abcdefgh", "qqqqwwe", "qqqqwwwe"]
+        for t in tried:
+            for m in re.finditer(pattern, t):
+                assert not asked or any(all(g in m[0].lower() for g in a) for a in asked)
+
+
 def test_chat(spark):
     call = '{"tool":"reply","call_id":"a","arguments":{"turn":2,"text":"hi"}}'
     rows = [(1, 0, "assistant", '{"call_id":"a","content":"early"}'), (1, 1, "assistant", call), (1, 2, "user", None), (1, 3, "assistant", 'quote " and\nline'), (1, 4, "system", ""), (2, 0, "assistant", "orphan"), (2, 1, "assistant", '{"tool":"rm","call_id":"b","arguments":{}}'), (2, 2, "assistant", '{"tool":"reply","call_id":"c","arguments":{"text":5,"more":1}}'), (None, 0, None, None)]
@@ -270,3 +309,27 @@ def test_ordinal_features_count_capitals_alike_at_every_length():
     for word in ("ŒΩЖ ab ", "×× abcd "):
         short, long = (ordinal.features(word * n)[1][3] for n in (100, 200_000))
         assert short == long
+
+
+def test_html_frames_stray_tags_and_ids_of_any_type(spark):
+    text = "words of a paragraph " * 9
+    page = f"<body><form><div>Search <input></div><main><h1>Head</h1><p>{text}</p></main><p>Send</p></form></body>"
+    want = " ".join(f"Head {text}".split())
+    assert html.extract(page) == want
+    assert html.extract(f"<nav><a>menu</a><ul><li>entry<main><h1>Head</h1><p>{text}</p></main>") == want
+    assert html.extract(f'<article class="post has-sidebar ad-free"><h1>Head</h1><p>{text}</p></article>') == want
+    started = time.monotonic()
+    html.extract("<div>" * 40_000 + "</x>" * 40_000 + "<x><article>" + "<div>" * 40_000 + "</x>" * 40_000)
+    assert time.monotonic() - started < 20
+    rows = frame(spark, [("a", None, f"<p>{text}")], "page_id string, url string, html string")
+    assert [x.page_id for x in html.query(spark, rows).collect()] == ["a"]
+    assert html.query(spark, rows.limit(0)).collect() == []
+
+
+def test_html_texts_change_without_the_ratios(spark, monkeypatch):
+    long = "words of a paragraph " * 9
+    page = f'<body><div class="x"><p>{long}</p></div><div class="y"><a href="1">Home</a><a href="2">News</a><a href="3">About us</a></div></body>'
+    with_ratios = html.extract(page)
+    monkeypatch.setattr(html, "SHARE", -1e9)
+    monkeypatch.setattr(html, "LINKED", 2.0)
+    assert with_ratios == " ".join(long.split()) != html.extract(page)

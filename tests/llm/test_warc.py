@@ -46,6 +46,9 @@ def test_cut_missing_and_foreign_bytes():
     parts = archive()
     data = b"".join(parts)
     ids, gaps = salvage(data[:-3])
+    # The record is whole by its own digests; that the member's end is missing is logged.
+    assert ids == list(range(40)) and gaps == [(len(data) - len(parts[-1]), len(parts[-1]) - 3)]
+    ids, gaps = salvage(data[:-40])
     assert ids == list(range(39)) and gaps[0][0] == len(data) - len(parts[-1])
     ids, gaps = salvage(parts[0] + b"junk \x1f\x8b\x08 more junk" + b"".join(parts[1:]))
     assert ids == list(range(40)) and gaps == [(len(parts[0]), len(b"junk \x1f\x8b\x08 more junk"))]
@@ -84,3 +87,34 @@ def test_reading_damaged_files_logs_gaps(spark, tmp_path):
 
 def test_other_readers_can_read_ours():
     assert gzip.decompress(b"".join(archive())).count(b"WARC/1.1") == 40
+
+
+def test_damage_inside_a_member_of_several_records():
+    records = [warc.serialise(i, f"http://x/{i}", random.Random(i).randbytes(5000), None, False) for i in range(6)]
+    whole = warc.member(b"".join(records))
+    before, after = warc.member(warc.serialise(100, "a", b"", None, False)), warc.member(warc.serialise(101, "b", b"", None, False))
+    bad = bytearray(b"".join(records))
+    bad[sum(map(len, records[:3])) + 3000] ^= 0xFF  # a block that fails its digest in a member that is whole
+    ids, gaps = salvage(before + warc.member(bytes(bad)) + after)
+    assert ids == [100, 0, 1, 2, 4, 5, 101] and gaps == [(len(before), len(warc.member(bytes(bad))))]
+    torn = bytearray(whole)
+    torn[len(torn) * 3 // 4] ^= 0xFF  # a member that cannot be inflated to its end, or fails its CRC
+    ids, gaps = salvage(before + bytes(torn) + after)
+    assert ids[:4] == [100, 0, 1, 2] and ids[-1] == 101 and gaps == [(len(before), len(whole))]
+    ids, gaps = salvage(before + whole[: len(whole) // 2])
+    assert ids[:3] == [100, 0, 1] and gaps == [(len(before), len(whole) // 2)]
+
+
+def test_a_false_length_does_not_read_on(spark):
+    bad = warc.serialise(1, "u", b"x" * 100, None, False).replace(b"Content-Length: 1", b"Content-Length: 999999999991", 1)
+    good = warc.serialise(2, "u", b"y" * 100, None, False)
+    data = bad + good
+    for size in (None, len(data)):
+        found = list(warc.salvage(io.BytesIO(data), size))
+        assert [x["page_id"] for k, x in found if k == "record"] == [2]
+
+
+def test_records_of_any_size():
+    payload = bytes(300 << 20)
+    found = list(warc.salvage(io.BytesIO(warc.member(warc.serialise(1, "u", payload, None, False), 1))))
+    assert [k for k, _ in found] == ["record"] and found[0][1]["payload_bytes"] == len(payload)
