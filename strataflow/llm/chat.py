@@ -1,13 +1,20 @@
 """Tool-call linking in chats, by DataFrame functions only.
 
-Messages may carry calls (call_id, tool, arguments as JSON text) or be results (call_id). Results are joined to the
-first call of their conversation with that identifier, arguments are checked against the tool's schema, messages get a
-topological order in which each result follows its call and each call what it depends on, and every message is
-serialised as canonical JSON: keys in order, no white space, numbers in one form.
-
-Duplicate calls of one identifier are flagged and the first one (smallest turn) is linked. Results without a call are
-orphans and keep their own place. Null identifiers link nothing. Null texts serialise as null. Conversations are never
-gathered in one task: the order is a pair of numbers computed from the link.
+Messages may carry calls (call_id, tool, arguments as JSON text, after: identifiers of the calls whose results they
+need) or be results (call_id). Results are joined to the first call of their conversation with that identifier,
+arguments are checked against the tool's schema, and every message is serialised as canonical JSON: keys in order, no
+white space, numbers in one form.
+
+The order is topological, a pair (anchor, step): a result follows its call, a call follows the results of the calls it
+names in after (or those calls, where they have none). step is the longest chain of such links before a message,
+anchor the largest turn along it, so sorting by (anchor, step, turn) places each message after what it depends on and
+moves no other. It is found in rounds over the table of links: each round places the calls all of whose needs are
+placed. Calls in a cycle, or that depend on one, are never placed: they keep their turn and get the error "cyclic".
+Conversations are never gathered in one task.
+
+Duplicate calls of one identifier are flagged and the first one (smallest turn) is linked and ordered; the others and
+results without a call keep their own place. Identifiers in after that no call has are left out. Null identifiers link
+nothing. Null texts serialise as null. Repeated rows keep a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.llm.common import materialise
+
 #: A tool's schema: parameter -> (type, required, smallest number or length, largest number or length or None).
 Schema = dict[str, tuple[str, bool, float, float | None]]
 SCHEMAS: dict[str, Schema] = {"reply": {"text": ("string", True, 1, None), "turn": ("bigint", True, 0, None), "style": ("string", False, 1, 40)}}
@@ -47,23 +56,57 @@ def problems(arguments: Column, schema: Schema) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def depths(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """conv_id, call_id, call_anchor and depth of the calls that can be placed, in as many rounds as the longest chain
+    has calls. calls: conv_id, call_id, call_turn, last_result (turn or null); needs: conv_id, call_id, need."""
+    ids = ["conv_id", "call_id"]
+    known = calls.select("conv_id", F.col("call_id").alias("need"))
+    edges = materialise(needs.where("call_id is not null and need is not null").distinct().join(known, ["conv_id", "need"], "left_semi").select(*ids, "need"), "call-needs")
+    done = F.col("last_result").isNotNull().cast("long")
+    first = calls.join(edges, ids, "left_anti").select(*ids, F.col("call_turn").alias("call_anchor"), F.lit(0).cast("long").alias("depth"), "last_result")
+    placed = materialise(first, "placed-calls")
+    count = edges.groupBy(*ids).agg(F.count("*").alias("n"))
+    while True:
+        waiting = edges.join(placed.select(*ids), ids, "left_anti")
+        after = placed.select("conv_id", F.col("call_id").alias("need"), F.greatest("call_anchor", F.coalesce("last_result", "call_anchor")).alias("a"), (F.col("depth") + done + 1).alias("d"))
+        met = waiting.join(after, ["conv_id", "need"]).groupBy(*ids).agg(F.count("*").alias("met"), F.max("a").alias("a"), F.max("d").alias("d"))
+        ready = met.join(count, ids).where("met = n").join(calls, ids)
+        fresh = materialise(ready.select(*ids, F.greatest("a", "call_turn").alias("call_anchor"), F.col("d").alias("depth"), "last_result"), "placed-calls")
+        if fresh.isEmpty():
+            return placed.drop("last_result")
+        placed = materialise(placed.unionByName(fresh), "placed-calls")
+
+
 def link(messages: DataFrame, schemas: dict[str, Schema] = SCHEMAS) -> DataFrame:
     """messages (conv_id, turn, role, kind call/result/message, call_id, tool, arguments, text) with linked (a call
     has a result, a result has a call), duplicate, errors (array), anchor and step (the order), and json."""
     named = messages.where("call_id is not null and conv_id is not null")
     calls = named.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"), F.count("*").alias("n_calls"))
-    results = named.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"))
-    pairs = calls.join(results, ["conv_id", "call_id"], "full_outer").select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), "call_turn", "n_calls", "n_results")
+    results = named.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.max("turn").alias("last_result"))
+    pairs = calls.join(results, ["conv_id", "call_id"], "full_outer")
+    turn, depth, cyclic = F.col("call_turn"), F.lit(0).cast("long"), F.lit(False)
+    if "after" in messages.columns:
+        first = named.where("kind = 'call' and size(after) > 0").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "after")).alias("f"))
+        needs = materialise(first.select("conv_id", "call_id", F.col("f.turn").alias("t"), F.explode("f.after").alias("need")), "named-needs")
+        if not needs.isEmpty():
+            # Only a first call's needs count, as it is the one that is linked.
+            own = needs.join(calls.select("conv_id", "call_id", F.col("call_turn").alias("t")), ["conv_id", "call_id", "t"], "left_semi")
+            placed = depths(pairs.where("n_calls is not null").select("conv_id", "call_id", "call_turn", "last_result"), own.drop("t"))
+            pairs = pairs.join(placed, ["conv_id", "call_id"], "left")
+            turn, depth, cyclic = F.coalesce("call_anchor", "call_turn"), F.coalesce("depth", F.lit(0)).cast("long"), F.col("n_calls").isNotNull() & F.col("depth").isNull()
+    pairs = pairs.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), "call_turn", "n_calls", "n_results", turn.alias("__anchor"), depth.alias("__depth"), cyclic.alias("__cyclic"))
     # Messages without an identifier get one that no pair has, so that they don't meet in one task.
     key = F.coalesce("call_id", F.concat_ws("-", F.lit("\u0000"), F.col("turn").cast("string")))
     joined = messages.withColumn("__key", key).join(pairs, (F.col("conv_id") == F.col("__c")) & (F.col("__key") == F.col("__i")), "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     linked = F.when(is_call, F.col("n_results").isNotNull()).when(is_result, F.col("n_calls").isNotNull()).otherwise(F.lit(None))
     after = is_result & F.col("call_turn").isNotNull()
+    first_call = is_call & (F.col("turn") == F.col("call_turn"))
     errors = F.lit(None).cast("array<string>")
     for tool, schema in schemas.items():
         errors = F.when(is_call & (F.col("tool") == tool), problems(F.col("arguments"), schema)).otherwise(errors)
     errors = F.when(is_call & (F.col("tool").isNull() | ~F.col("tool").isin(*schemas)), F.array(F.lit("unknown tool"))).otherwise(errors)
+    errors = F.when(first_call & F.col("__cyclic"), F.array_append(F.coalesce(errors, F.array().cast("array<string>")), F.lit("cyclic"))).otherwise(errors)
     # Keys in order; arguments that are no JSON stay as text.
     quoted = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1))
     given = F.coalesce(canonical(F.col("arguments")), quoted(F.col("arguments")))
@@ -80,8 +123,8 @@ def link(messages: DataFrame, schemas: dict[str, Schema] = SCHEMAS) -> DataFrame
         linked.alias("linked"),
         (F.coalesce(F.when(is_call, F.col("n_calls") > 1), F.lit(False))).alias("duplicate"),
         errors.alias("errors"),
-        F.when(after, F.greatest("turn", "call_turn")).otherwise(F.col("turn")).alias("anchor"),
-        F.when(after, 1).otherwise(0).cast("long").alias("step"),
+        F.when(after, F.greatest("turn", "__anchor")).when(first_call, F.col("__anchor")).otherwise(F.col("turn")).alias("anchor"),
+        F.when(after, F.col("__depth") + 1).when(first_call, F.col("__depth")).otherwise(0).cast("long").alias("step"),
         json.alias("json"),
     )
 
@@ -89,7 +132,7 @@ def link(messages: DataFrame, schemas: dict[str, Schema] = SCHEMAS) -> DataFrame
 def from_turns(conversations: DataFrame) -> DataFrame:
     """Conversations as messages: a user's turn calls the tool reply with its text, the assistant's next turn is the
     result; other turns are plain messages. Turns whose text is itself a call or result in JSON (tool, call_id,
-    arguments; or call_id, content) are taken as such."""
+    arguments, after; or call_id, content) are taken as such."""
     role = F.col("role")
     identifier = lambda turn: F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), turn.cast("string"))
     said = F.coalesce("text", F.lit(""))
@@ -101,7 +144,7 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     arguments = F.when(own_call, F.to_json(get("$.arguments", "variant"))).when(role == "user", F.to_json(F.struct(F.col("turn"), F.col("text"))))
     tool = F.when(own_call, get("$.tool")).when(role == "user", F.lit("reply"))
     text = F.when(own_result, get("$.content")).otherwise(F.col("text"))
-    return conversations.select("conv_id", "turn", "role", kind.alias("kind"), call_id.alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), text.alias("text"))
+    return conversations.select("conv_id", "turn", "role", kind.alias("kind"), call_id.alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.when(own_call, get("$.after", "array<string>")).alias("after"), text.alias("text"))
 
 
 def query(spark: SparkSession, conversations: DataFrame) -> DataFrame:

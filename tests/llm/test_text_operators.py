@@ -1,6 +1,7 @@
 """Tokenising, extraction, quality rules, secrets, chats, the language model and the classifier on small tables."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -163,6 +164,30 @@ def test_chat(spark):
     assert chat.query(spark, frame(spark, [], "conv_id bigint, turn bigint, role string, text string")).collect() == []
 
 
+def test_calls_follow_what_they_depend_on(spark):
+    call = lambda i, *after: json.dumps({"tool": "reply", "call_id": i, "arguments": {"text": "x", "turn": 0}, "after": list(after)})
+    result = lambda i: json.dumps({"call_id": i, "content": "done " + i})
+    rows = [
+        # 1: a chain told in the wrong order, d needs b and c, c needs a; b has no result; the second call of a is a duplicate.
+        (1, 0, call("d", "b", "c")), (1, 1, result("d")), (1, 2, call("c", "a")), (1, 3, call("b")), (1, 4, result("a")), (1, 5, call("a")), (1, 6, result("c")), (1, 7, call("a", "d")), (1, 8, "talk"),
+        # 2: a cycle, what depends on it, a need that no call has, and needs of oneself.
+        (2, 0, call("p", "q")), (2, 1, call("q", "p")), (2, 2, call("r", "q")), (2, 3, call("s", "nowhere")), (2, 4, call("t", "t")), (2, 5, result("q")),
+    ]
+    rows += [(1, 8, "talk"), (None, 0, call("a")), (3, 0, call("long", *[f"n{k}" for k in range(3000)]))]
+    found = chat.query(spark, frame(spark, [(c, t, "assistant", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert len(found) == len(rows)
+    got = {(x.conv_id, x.turn): x for x in found}
+    at = {k: (x.anchor, x.step) for k, x in got.items()}
+    # By hand: a is called at 5, its result counts from there; c follows it, then c's result, then d and its result.
+    assert (at[1, 5], at[1, 4], at[1, 2], at[1, 6], at[1, 3]) == ((5, 0), (5, 1), (5, 2), (6, 3), (3, 0))
+    assert at[1, 0] == (6, 4) and at[1, 1] == (6, 5)
+    assert at[1, 7] == (7, 0)
+    errors = {t: got[2, t].errors for t in range(5)}
+    assert errors == {0: "cyclic", 1: "cyclic", 2: "cyclic", 3: "", 4: "cyclic"}
+    assert [at[2, t] for t in range(4)] == [(t, 0) for t in range(4)] and at[2, 5] == (5, 1)
+    assert at[3, 0] == (0, 0)
+
+
 def test_language_model(spark):
     r = random.Random(8)
     rows = [(i, " ".join(x for _ in range(40) for x in r.choice([["aa", "bb", "cc"], ["dd", "ee"], [f"r{r.randrange(10**6)}"]]))) for i in range(400)]
