@@ -45,7 +45,9 @@ NONE, TOTAL = -1, -2
 #: Different keys that a task counts before it hands them on, and tokens that it deals at once.
 HELD, DEALT = 400_000, 1_500_000
 #: Words that are broadcast with their numbers; tokens a bucket should hold, and the fewest buckets.
-HEAD, BUCKET, BUCKETS = 200_000, 700_000, 48
+HEAD, BUCKET, BUCKETS = 200_000, 700_000, 128
+#: Hot pairs are told from one in so many texts; that decides where tokens go, not what is counted.
+GLIMPSE = 16
 #: Symbols fit into so many bits, two of them into a key.
 BITS = 31
 
@@ -266,12 +268,14 @@ COLUMNS = [f"c{k + 1}" for k in range(DEPTH)]
 
 def counted(symbols: DataFrame, buckets: Buckets, levels: range) -> DataFrame:
     """Counts n of (context, symbol) in training texts, and of contexts (symbol TOTAL), for contexts of so many symbols
-    that end in a hot symbol, or from two on in a hot pair; pre-aggregated in each task in runs of bounded size."""
+    that end in a hot symbol, or from two symbols on in a hot pair; pre-aggregated in each task in runs of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tokens(batches, DEALT):
-            t = t.where(~t.held & (buckets.hot_one(t.context[0]) if levels.start == 1 else buckets.hot_pair(t.context[0], t.context[1])))
+            t = t.where(~t.held & buckets.hot_one(t.context[0]))
             for k in levels:
+                if k == 2:
+                    t = t.where(buckets.hot_pair(t.context[0], t.context[1]))
                 u = t.where(t.context[k - 1] != NONE)
                 if not len(u.symbol):
                     continue
@@ -329,11 +333,15 @@ def grow(t: Tokens, given: np.ndarray, buckets: Buckets, root: Root, threshold:
     known = [buckets.hot_one(given[:, 0]), *[buckets.hot_pair(given[:, 0], given[:, 1])] * (DEPTH - 1)] if len(given) else []
     levels, numbers = [], []
     number, at = np.zeros(len(t.symbol), np.int64), np.zeros(len(given), np.int64)
+    changes = np.zeros(len(t.symbol), bool)
     for k in range(DEPTH):
+        # Tokens are in order of their contexts, so equal ones are neighbours.
         there = (number >= 0) & (t.context[k] != NONE)
-        key = np.where(there, (number << BITS) + t.context[k], NONE)
-        keys = np.unique(key[there])
-        number = np.where(there, np.searchsorted(keys, key), NONE)
+        changes[1:] |= t.context[k][1:] != t.context[k][:-1]
+        changes[:1] = True
+        fresh = changes & there
+        keys = (number[fresh] << BITS) + t.context[k][fresh]
+        number = np.where(there, np.cumsum(fresh) - 1, NONE)
         mine = there & ~t.held & ~hot[k]
         total = np.bincount(number[mine], minlength=len(keys)).astype(float)
         pairs, n = np.unique((number[mine] << BITS) + t.symbol[mine], return_counts=True)
@@ -389,25 +397,25 @@ def scored(symbols: DataFrame, root: Root, totals: dict[int, int], tokens: int,
     n = max(BUCKETS, -(-tokens // BUCKET))
     share = max(1, tokens // n)
     ways = lambda c: min(n, -(-c // share))
-    ones = sorted(s for s, c in totals.items() if c > 2 * share)
+    limit = max(2 * share, BUCKET)
+    ones = sorted(s for s, c in totals.items() if c > limit)
     none = np.empty(0, np.int64)
     buckets = Buckets(n, np.array(ones, np.int64), np.array([ways(totals[s]) for s in ones], np.int64), none, none)
     given = None
     if ones:
-        given = materialise(counted(symbols, buckets, range(1, 2)), "pst-hot-symbols")
-        # A hot pair is a hot symbol after a hot context; there are at most n / 2 of them.
-        hot = given.where((F.col("n") > 2 * share) & F.col("symbol").isin(ones)).select(F.col("c1").alias("two"), F.col("symbol").alias("one"), "n").collect()
-        keyed = sorted(((r["two"] << BITS) + r["one"], ways(r["n"])) for r in hot)
+        # A hot pair is a hot symbol after a hot context; there are at most n of them.
+        seen = counted(symbols.where(F.xxhash64("row") % GLIMPSE == 0), buckets, range(1, 2)).where((F.col("n") * GLIMPSE > limit) & F.col("symbol").isin(ones))
+        keyed = sorted(((r["c1"] << BITS) + r["symbol"], min(ways(r["n"] * GLIMPSE), ways(totals[r["symbol"]]))) for r in seen.collect())
         buckets = buckets._replace(pairs=np.array([k for k, _ in keyed], np.int64), pairs_ways=np.array([w for _, w in keyed], np.int64))
-        if keyed and DEPTH > 1:
-            given = given.union(materialise(counted(symbols, buckets, range(2, DEPTH + 1)), "pst-hot-pairs"))
+        given = materialise(counted(symbols, buckets, range(1, DEPTH + 1)), "pst-hot-contexts")
     names = ["n", "rows", "held", "at", *COLUMNS, "symbol"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tokens(batches, DEALT):
             salt = ((t.row * 40503) & 0xFFFFF) >> 4
             bucket = buckets.of(t.context[0], t.context[1] if DEPTH > 1 else np.full(len(t.row), NONE), salt)
-            order = np.lexsort((t.symbol, *t.context[::-1], bucket))
+            # Order within a bucket only serves compression.
+            order = np.argsort((bucket << 48) + ((t.context[0] & 0xFFFFFF) << 24) + (t.context[1 % DEPTH] & 0xFFFFFF))
             cut = np.searchsorted(bucket[order], np.arange(n + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 u = t.where(order[cut[b] : cut[b + 1]])
@@ -436,6 +444,7 @@ def scored(symbols: DataFrame, root: Root, totals: dict[int, int], tokens: int,
             at, *context, symbol = (unpack(m[c], m["n"]) for c in ("at", *COLUMNS, "symbol"))
             parts.append(Tokens(np.frombuffer(m["rows"], np.int64)[at], np.frombuffer(m["held"], bool)[at], context, symbol))
         t = Tokens(np.concatenate([p.row for p in parts]), np.concatenate([p.held for p in parts]), [np.concatenate(c) for c in zip(*(p.context for p in parts), strict=True)], np.concatenate([p.symbol for p in parts]))
+        t = t.where(np.lexsort(t.context[::-1]))
         known = np.stack([given.column(c).to_numpy().astype(np.int64) for c in (*COLUMNS, "symbol", "n")], 1) if given.num_rows else np.empty((0, DEPTH + 2), np.int64)
         logs = over_root(t, known, buckets, root, threshold)
         rows, at = np.unique(t.row, return_inverse=True)
