@@ -41,3 +41,34 @@ def overlap_share(a_low: Column, a_high: Column, b_low: Column, b_high: Column)
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def identity_weight(identity: Column) -> Column:
+    """1 for certain, 0.8 for questionable, else 0.9."""
+    word = F.lower(F.trim(identity))
+    return F.when(word == "certain", 1.0).when(word == "questionable", 0.8).otherwise(0.9)
+
+
+def merged_confidence(base: Column, agreement: Column, supported: Column) -> Column:
+    """Base confidence raised or lowered by the agreement of others (a little lower without any), and raised where a
+    reference supports it; at most 1."""
+    value = base * F.when(agreement.isNull(), 0.92).otherwise(0.8 + 0.25 * agreement)
+    return F.least(F.lit(1.0), value + F.when(supported, 0.03).otherwise(0.0))
+
+
+def confidence_level(value: Column) -> Column:
+    """High from 0.7 on, Medium from 0.4 on, else Low; null for null."""
+    return F.when(value >= 0.7, "High").when(value >= 0.4, "Medium").when(value.isNotNull(), "Low")
+
+
+def is_water(name: Column, unit: Column, material: Column, lith: Column) -> Column:
+    """Whether one of four columns says water."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return low(name).isin("water", "bodies of water") | (low(unit) == "water") | low(material).startswith("water") | (low(lith) == "water")
+
+
+def station_type(code: Column, parameters: Column, kinds: list[tuple[str, str]], measured: list[tuple[list[str], str]], other: str) -> Column:
+    """A type from the start of a code, else from what is measured, else other."""
+    made = [F.when(F.coalesce(code.startswith(p), F.lit(False)), F.lit(t)) for p, t in kinds]
+    made += [F.when(F.arrays_overlap(parameters, F.array(*map(F.lit, names))), F.lit(t)) for names, t in measured]
+    return F.coalesce(*made, F.lit(other))

@@ -1,4 +1,4 @@
-"""Joins beyond plain equality: distance within cells, nearest in time, first match, two-stage lookup, prefixes."""
+"""Joins beyond plain equality: distance within cells, nearest in time, two-stage lookup."""
 
 from __future__ import annotations
 
@@ -35,9 +35,11 @@ def source_pairs(points: DataFrame, most: float) -> DataFrame:
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """left with the value and time (__rts) of right's nearest row of the same key; of equally near ones the earlier.
 
-    The sides are laid one after the other and carried forward and back along time: one shuffle, no pairs.
+    Of right rows at one time the one with the least value counts. The sides are laid one after the other and carried
+    forward and back along time: one shuffle, no pairs.
     """
-    both = left.select(*left.columns, F.lit(None).cast("timestamp_ntz").alias("__rts"), F.lit(None).cast(right.schema[value].dataType).alias("__rv"), F.lit(1).alias("__left"))
+    right = right.groupBy(key, ts).agg(F.min(value).alias(value))
+    both = left.select(*left.columns, F.lit(None).cast(right.schema[ts].dataType).alias("__rts"), F.lit(None).cast(right.schema[value].dataType).alias("__rv"), F.lit(1).alias("__left"))
     other = right.select(*(F.col(c) if c in (key, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(ts).alias("__rts"), F.col(value).alias("__rv"), F.lit(0).alias("__left"))
     w = Window.partitionBy(key).orderBy(ts, "__left")
     back = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -51,7 +53,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, value:
 
 
 def two_stage(left: DataFrame, exact: DataFrame, by_name: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
-    """left with value from exact by its keys, else from by_name by its name."""
-    a = exact.select(*keys, F.col(value).alias("__exact"))
-    b = by_name.select(name, F.col(value).alias("__named"))
-    return left.join(a, keys, "left").join(b, name, "left").withColumn(value, F.coalesce("__exact", "__named")).drop("__exact", "__named")
+    """left with value from exact by its keys, else from by_name by its name. Of rows that repeat a key the least value
+    counts, so no row of left is multiplied; a column of left with the value's name must not be there."""
+    if value in left.columns:
+        raise ValueError(f"{value} is a column of left")
+    a = exact.groupBy(*keys).agg(F.min(value).alias("__exact"))
+    b = by_name.groupBy(name).agg(F.min(value).alias("__named"))
+    return left.join(a, keys, "left").join(b, name, "left").select(*left.columns, F.coalesce("__exact", "__named").alias(value))

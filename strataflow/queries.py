@@ -5,30 +5,13 @@ Stations are users, parameters are event types; orders stand for catalog records
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions import rules
 from strataflow.operators import joins, surfaces, upsert, windows
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *tables: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """Registers a function of tables under its name, with the SQL that gives the same rows."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+from strataflow.plans import records, space, surfaces_plan, texts  # noqa: F401  (each registers its queries)
+from strataflow.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
 @query(
@@ -56,7 +39,7 @@ def latest_station_status(events: DataFrame) -> DataFrame:
 @query("select s_suppkey, coalesce(nullif(trim(s_name), ''), n_name) as name, concat_ws(', ', n_name, case when s_acctbal < 0 then 'in debt' end) as label from supplier left join nation on s_nationkey = n_nationkey", "supplier", "nation")
 def coalesce_aliases(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """First non-empty of several columns; non-null ones joined."""
-    joined = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return joined.select("s_suppkey", F.coalesce(F.nullif(F.trim("s_name"), F.lit("")), "n_name").alias("name"), F.concat_ws(", ", "n_name", F.when(F.col("s_acctbal") < 0, "in debt")).alias("label"))
 
 
@@ -103,11 +86,11 @@ def attach_units(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("p_name", F.lit("unnamed")).alias("unit"), F.coalesce("p_size", F.lit(0)).cast("long").alias("size"))
 
 
-@query("select n as nationkey, coalesce(c, 0)::bigint as customers, coalesce(s, 0)::bigint as suppliers, case when c is null then 'new' when s is null then 'old' else 'both' end as origin from (select c_nationkey n, count(*) c from customer where c_acctbal > 9000 group by 1) full outer join (select s_nationkey n, count(*) s from supplier where s_acctbal > 5000 group by 1) using (n)", "customer", "supplier")
+@query("select n as nationkey, coalesce(c, 0)::bigint as customers, coalesce(s, 0)::bigint as suppliers, case when c is null then 'new' when s is null then 'old' else 'both' end as origin from (select c_nationkey n, count(*) c from customer group by 1) full outer join (select s_nationkey n, count(*) s from supplier group by 1) using (n)", "customer", "supplier")
 def upsert_catalog(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     """Full outer upsert of two sources by key, with the origin of each record."""
-    c = customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("c"))
-    s = supplier.where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("s"))
+    c = customer.groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("c"))
+    s = supplier.groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("s"))
     origin = F.when(F.col("c").isNull(), "new").when(F.col("s").isNull(), "old").otherwise("both")
     return c.join(s, "nationkey", "full_outer").select("nationkey", F.coalesce("c", F.lit(0)).cast("long").alias("customers"), F.coalesce("s", F.lit(0)).cast("long").alias("suppliers"), origin.alias("origin"))
 
@@ -121,13 +104,13 @@ def derived_key_join(part: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 @query(
-    """with e as (select p_brand, p_type, max(p_retailprice) as v from part where p_size > 45 group by all), b as (select lower(p_name) as k, min(p_retailprice) as v from part group by all)
+    """with e as (select p_brand, p_type, min(case when p_size > 45 then p_retailprice end) as v from part group by all), b as (select lower(p_name) as k, min(p_retailprice) as v from part group by all)
     select p_partkey, coalesce(e.v, b.v) as price from part left join e using (p_brand, p_type) left join b on lower(p_name) = k""",
     "part",
 )
 def correlate_two_stage(part: DataFrame) -> DataFrame:
     """Lookup by exact keys, else by name."""
-    exact = part.where("p_size > 45").groupBy("p_brand", "p_type").agg(F.max("p_retailprice").alias("price"))
+    exact = part.groupBy("p_brand", "p_type").agg(F.min(F.when(F.col("p_size") > 45, F.col("p_retailprice"))).alias("price"))
     named = part.groupBy(F.lower("p_name").alias("k")).agg(F.min("p_retailprice").alias("price"))
     return joins.two_stage(part.withColumn("k", F.lower("p_name")), exact, named, ["p_brand", "p_type"], "k", "price").select("p_partkey", "price")
 
@@ -212,10 +195,10 @@ def gap_segments(events: DataFrame) -> DataFrame:
     return cut.groupBy("user_id", "segment").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("with i as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as g from (select distinct conv_id, turn from conversations where role <> 'system')), r as (select conv_id, min(turn) as a, max(turn) as b from i group by conv_id, g) select conv_id, string_agg(case when a = b then a::varchar else a || '-' || b end, ', ' order by a) as ranges from r group by 1", "conversations")
+@query("with i as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as g from (select distinct conv_id, turn from conversations)), r as (select conv_id, min(turn) as a, max(turn) as b from i group by conv_id, g) select conv_id, string_agg(case when a = b then a::varchar else a || '-' || b end, ', ' order by a) as ranges from r group by 1", "conversations")
 def page_ranges(conversations: DataFrame) -> DataFrame:
     """Runs of consecutive numbers as text."""
-    runs = windows.islands(conversations.where("role <> 'system'"), "conv_id", "turn")
+    runs = windows.islands(conversations, "conv_id", "turn")
     text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
     return runs.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", text.alias("t")))), lambda x: x["t"]), ", ").alias("ranges"))
 
@@ -227,22 +210,26 @@ def budget_take(documents: DataFrame) -> DataFrame:
 
 
 @query(
-    """with o as (select o_orderkey as k, o_totalprice as v from orders where o_orderkey % 3 <> 0), n as (select o_orderkey as k, round(o_totalprice * 1.1, 2) as v from orders where o_orderkey % 2 = 0)
-    select k, v, case when k in (select k from n) then 'history' else 'kept' end as state from o union all select k, v, 'fresh' from n""",
+    """with o as (select o_orderkey as k, strftime(o_orderdate, '%Y-%m') as page, o_totalprice as v from orders), n as (select l_orderkey as k, strftime(l_shipdate, '%Y-%m') as page, sum(l_quantity) as v from lineitem group by all), r as (select distinct page from n where page like '%-06')
+    select k, page, v, case when page in (select page from r) or (k, page) in (select (k, page) from n) then 'history' else 'kept' end as state from o union all select k, page, v, 'fresh' from n""",
     "orders",
+    "lineitem",
 )
-def versioned_merge(orders: DataFrame) -> DataFrame:
-    """Kept, fresh and replaced rows of two versions."""
-    old = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit(1).alias("__old"))
-    new = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 1.1, 2).alias("v"), F.lit(1).alias("__new"))
-    return upsert.versioned_merge(old, new, ["k"])
+def versioned_merge(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Kept, fresh and replaced values of two readings: by key and page, and whole pages that were read again."""
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("page")
+    old = orders.select(F.col("o_orderkey").alias("k"), month("o_orderdate"), F.col("o_totalprice").alias("v"))
+    new = lineitem.groupBy(F.col("l_orderkey").alias("k"), month("l_shipdate")).agg(F.sum("l_quantity").alias("v"))
+    again = new.where("page like '%-06'").select("page").distinct()
+    return upsert.versioned_merge(old, new, ["k", "page"], "page", again)
 
 
-@query("select o_orderkey, case when o_orderkey % 7 = 0 and o_orderstatus = 'P' then 'X' else o_orderstatus end as status, o_orderkey % 7 = 0 and o_orderstatus = 'P' as applied, o_orderkey % 7 = 0 and o_orderstatus <> 'P' as stale from orders", "orders")
+@query("select o_orderkey, case o_orderstatus when 'P' then 'Y' when 'X' then 'Y' else o_orderstatus end as status, (case when o_orderstatus in ('P', 'X') then 2 when o_orderstatus = 'Y' then 1 else 0 end)::bigint as applied, (case when o_orderstatus in ('P', 'X') then 0 when o_orderstatus = 'Y' then 1 else 2 end)::bigint as stale from orders", "orders")
 def corrections(orders: DataFrame) -> DataFrame:
-    """Corrections take effect only where the current value is the expected one."""
-    fixes = orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("P").alias("old"), F.lit("X").alias("new"))
-    return upsert.corrected(orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), fixes, "o_orderkey", "status")
+    """Corrections, two to a row, take effect one after the other and only where the value is the expected one."""
+    fixes = orders.select("o_orderkey", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("P").alias("old"), F.lit("X").alias("new")), F.struct(F.lit(2).alias("seq"), F.lit("X").alias("old"), F.lit("Y").alias("new")))).alias("f")).select("o_orderkey", "f.*")
+    fixed, _ = upsert.corrected(orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), fixes, "o_orderkey", "status")
+    return fixed.select("o_orderkey", "status", F.col("applied").cast("long").alias("applied"), F.col("stale").cast("long").alias("stale"))
 
 
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, '{\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}' as doc from events", "events")
@@ -322,10 +309,11 @@ def session_debounce(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.min("ts").alias("started"), F.count("*").alias("n")).select("user_id", "started", "n")
 
 
-@query("select o_orderkey, l_partkey, l_quantity from orders join lineitem on o_orderkey = l_orderkey join (select l_orderkey as k, max(l_extendedprice) as m from lineitem group by 1) on k = o_orderkey and l_extendedprice = m where o_orderstatus = 'F' and o_custkey in (select c_custkey from customer where c_mktsegment = 'MACHINERY')", "orders", "lineitem", "customer")
+@query("select o_orderkey, l_partkey, l_quantity from orders join (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_linenumber, l_suppkey, l_shipdate) as k from lineitem) on o_orderkey = l_orderkey and k = 1 where o_orderstatus = 'F' and o_custkey in (select c_custkey from customer where c_mktsegment = 'MACHINERY')", "orders", "lineitem", "customer")
 def top_component(orders: DataFrame, lineitem: DataFrame, customer: DataFrame) -> DataFrame:
-    """The largest part of each selected record, with the correlated subquery rewritten as a window."""
+    """The largest part of each selected record, the first by key at a tie, with the correlated subquery rewritten as a
+    minimum that is combined before the shuffle."""
     chosen = orders.where("o_orderstatus = 'F'").join(customer.where("c_mktsegment = 'MACHINERY'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    lines = lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice").join(chosen, F.col("l_orderkey") == F.col("o_orderkey"))
-    top = F.max("l_extendedprice").over(Window.partitionBy("o_orderkey"))
-    return lines.withColumn("__m", top).where("l_extendedprice = __m").select("o_orderkey", "l_partkey", "l_quantity")
+    rank = [-F.col("l_extendedprice"), *(F.col(c) for c in ("l_partkey", "l_linenumber", "l_suppkey", "l_shipdate"))]
+    top = windows.first_by(lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_linenumber", "l_suppkey", "l_shipdate"), ["l_orderkey"], rank)
+    return top.join(chosen, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_partkey", "l_quantity")
