@@ -43,7 +43,7 @@ RARE, END, START, FIRST = 0, 1, 2, 3
 #: In columns of contexts: no symbol there, or none before the class of rare words; a context's total in place of a symbol.
 NONE, TOTAL = -1, -2
 #: Different keys that a task counts before it hands them on, and tokens that it deals at once.
-HELD, DEALT = 400_000, 1_500_000
+HELD, DEALT = 400_000, 1_000_000
 #: Words that are broadcast with their numbers; tokens a bucket should hold, and the fewest buckets.
 HEAD, BUCKET, BUCKETS = 200_000, 700_000, 128
 #: Hot pairs are told from one in so many texts; that decides where tokens go, not what is counted.
@@ -397,7 +397,7 @@ def scored(symbols: DataFrame, root: Root, totals: dict[int, int], tokens: int,
     n = max(BUCKETS, -(-tokens // BUCKET))
     share = max(1, tokens // n)
     ways = lambda c: min(n, -(-c // share))
-    limit = max(2 * share, BUCKET)
+    limit = 2 * share
     ones = sorted(s for s, c in totals.items() if c > limit)
     none = np.empty(0, np.int64)
     buckets = Buckets(n, np.array(ones, np.int64), np.array([ways(totals[s]) for s in ones], np.int64), none, none)
