@@ -122,7 +122,7 @@ def stack_pairs(embeddings: DataFrame) -> DataFrame:
 @query(
     """with l as (select l_partkey, l_suppkey, sum(l_quantity) as w, case min(l_returnflag) when 'A' then 1.0 when 'N' then 0.5 else 0.0 end as a from lineitem group by 1, 2), s as (select l_partkey, sum(a * w) / sum(w) as agr, count(*) as n from l group by 1),
     t as (select l_partkey, string_agg(l_suppkey::varchar, ',' order by w desc, l_suppkey) as top from (select *, row_number() over (partition by l_partkey order by w desc, l_suppkey) as k from l where a < 1) where k <= 5 group by 1)
-    select p_partkey, round(least(1.0, b * (case when agr is null then 0.92 else 0.8 + 0.25 * agr end) + case when p_type = 'PROMO' then 0.03 else 0 end), 6) as confidence, round(agr, 6) as agreement, 1 + coalesce(n, 0) as sources, top
+    select p_partkey, round(least(1.0, b * (case when agr is null then 0.92 else 0.8 + 0.25 * agr end) + case when p_type = 'PROMO' then 0.03 else 0 end)::double, 12) as confidence, round(agr, 6) as agreement, 1 + coalesce(n, 0) as sources, top
     from (select *, (case when p_size <= 10 then 0.95 when p_size <= 25 then 0.9 when p_size <= 40 then 0.7 else 0.35 end) * (case when p_brand in ('Brand#1', 'Brand#2') then 1.0 when p_brand = 'Brand#3' then 0.8 else 0.9 end) as b from part) left join s on l_partkey = p_partkey left join t using (l_partkey)""",
     "part",
     "lineitem",
@@ -138,7 +138,7 @@ def merge_confidence(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     base = rules.steps(F.col("p_size"), [(10, 0.95), (25, 0.9), (40, 0.7)], 0.35, 0.35) * rules.identity_weight(identity)
     value = rules.merged_confidence(base, F.col("agr"), F.col("p_type") == "PROMO")
     top = F.when(F.size("best") > 0, F.array_join(F.transform("best", lambda b: b["i"].cast("string")), ","))
-    return part.join(sums, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.round(value, 6).alias("confidence"), F.round("agr", 6).alias("agreement"), (1 + F.coalesce("n", F.lit(0))).alias("sources"), top.alias("top"))
+    return part.join(sums, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.round(value, 12).alias("confidence"), F.round("agr", 6).alias("agreement"), (1 + F.coalesce("n", F.lit(0))).alias("sources"), top.alias("top"))
 
 
 @query(

@@ -8,7 +8,7 @@ import pytest
 
 from strataflow.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
