@@ -40,6 +40,7 @@ def lags(points: DataFrame, key: str, name: str, x: str, y: str, z: str, bins: i
 def fits(binned: DataFrame, key: str, candidates: int = 60) -> DataFrame:
     """The best variogram of each surface with three bins or more: kind, range, nugget, sill (partial), sse and r2, by
     weighted least squares over candidate ranges from half the shortest lag to three times the longest."""
+    name, key, binned = key, "__key", binned.withColumnRenamed(key, "__key")
     ends = binned.groupBy(key).agg((F.min("lag") * 0.5).alias("lo"), (F.max("lag") * 3.0).alias("hi"), F.count("*").alias("m"), (F.sum(F.col("n") * F.col("gamma")) / F.sum("n")).alias("mean")).where("m >= 3")
     steps = F.transform(F.sequence(F.lit(0), F.lit(candidates - 1)), lambda i: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), i / (candidates - 1)))
     tried = ends.select(key, "mean", F.explode(steps).alias("range")).join(binned, key)
@@ -56,7 +57,7 @@ def fits(binned: DataFrame, key: str, candidates: int = 60) -> DataFrame:
     sse = F.col("wgg") + c0 * c0 * F.col("w") + c * c * F.col("wff") - 2 * c0 * F.col("wg") - 2 * c * F.col("wfg") + 2 * c0 * c * F.col("wf")
     sst = F.col("wgg") - F.col("mean") * F.col("mean") * F.col("w")
     made = rows.select(key, "kind", "range", c0.alias("nugget"), c.alias("sill"), sse.alias("sse"), F.coalesce(1 - F.try_divide(sse, sst), F.lit(0.0)).alias("r2"))
-    return made.groupBy(key).agg(F.min_by(F.struct("kind", "range", "nugget", "sill", "sse", "r2"), F.struct("sse", "kind", "range")).alias("b")).select(key, "b.*")
+    return made.groupBy(key).agg(F.min_by(F.struct("kind", "range", "nugget", "sill", "sse", "r2"), F.struct("sse", "kind", "range")).alias("b")).select(F.col(key).alias(name), "b.*")
 
 
 def _terms(x: np.ndarray, y: np.ndarray, drift: str) -> np.ndarray:
