@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions import names
+from strataflow.functions import coordinates, names
 from strataflow.operators import selection, windows
 from strataflow.plans.labelled import _answers, _case
 from strataflow.plans.space import points
@@ -173,3 +173,26 @@ def section_midpoints(embeddings: DataFrame) -> DataFrame:
     p = points(embeddings).select("vec_id", "x", "y")
     end = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("u"), F.col("y").alias("v"))
     return p.join(end, "vec_id", "left").select("vec_id", F.round((F.col("x") + F.col("u")) / 2, 6).alias("mid_x"), F.round((F.col("y") + F.col("v")) / 2, 6).alias("mid_y"))
+
+
+@query(
+    """with p as (select p_partkey, p_partkey % 6 as k, 32 + p_size % 3 as d, p_size as m, p_partkey % 60 as s, 79 + p_size % 4 as e from part),
+    r as (select *, case k when 0 then d + m / 60.0::double + s / 3600.0::double when 1 then d + m / 60.0::double + s / 3600.0::double when 2 then d + m / 100.0::double when 3 then d + m / 60.0::double end as lat, case k when 0 then -(e + s / 60.0::double + m / 3600.0::double) when 1 then -(e + s / 60.0::double + m / 3600.0::double) when 2 then -(e + s / 100.0::double) when 3 then -(e + s / 60.0::double) end as lon from p)
+    select p_partkey, case when lat between 31.5 and 35.6 then round(lat, 8) end as lat, case when lat between 31.5 and 35.6 then round(lon, 8) end as lon, case when lat between 31.5 and 35.6 then case k when 2 then 'decimal' when 1 then 'packed_dms' else 'dms' end end as format from r""",
+    "part",
+)
+def parse_places(part: DataFrame) -> DataFrame:
+    """Places printed in degrees, minutes and seconds, as packed digits, as decimals; and texts without one."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    d, m, s, e = F.col("p_size") % 3 + 32, F.col("p_size"), F.col("p_partkey") % 60, F.col("p_size") % 4 + 79
+    forms = [
+        F.concat(F.lit("lat "), d, F.lit("°"), m, F.lit("'"), s, F.lit('" N., long '), e, F.lit("°"), s, F.lit("'"), m, F.lit('" W.')),
+        F.concat(F.lit("Lat "), d, two(m), two(s), F.lit(" Long 0"), e, two(s), two(m)),
+        F.concat(F.lit("-"), e, F.lit("."), two(s), F.lit(", "), d, F.lit("."), two(m), F.lit(" (NAD 83)")),
+        F.concat(F.lit("N"), d, F.lit("°"), m, F.lit("' W"), e, F.lit("°"), s, F.lit("'")),
+        F.concat(d, two(m), two(s), F.lit(" "), e, two(s), two(m)),
+        F.concat(F.lit("lat "), d, F.lit("°"), m, F.lit("', "), s, F.lit(" ft deep")),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    read = part.select("p_partkey", coordinates.place(text).alias("p"))
+    return read.select("p_partkey", F.round("p.lat", 8).alias("lat"), F.round("p.lon", 8).alias("lon"), "p.format")
