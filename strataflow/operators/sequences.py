@@ -58,11 +58,11 @@ def axis(low: Column, high: Column, count: int = 5) -> Column:
 
 
 def first_appearances(df: DataFrame, key: str, order: list[Column], name: str, depth: str) -> DataFrame:
-    """Rows of a key, in order, where a name appears for the first time, below the top (depth over 0) and other than the
-    row before: the contacts down a hole."""
+    """Rows of a key, in order, where a name appears for the first time, below the top (depth over 0) and below another
+    name: the contacts down a hole. Rows without a name are left out; a key's first row is no contact at any depth."""
     w = Window.partitionBy(key).orderBy(*order)
-    marked = df.withColumn("__before", F.lag(name).over(w)).withColumn("__n", F.row_number().over(Window.partitionBy(key, name).orderBy(*order)))
-    fits = (F.col("__n") == 1) & (F.col(depth) > 0) & ~F.col(name).eqNullSafe(F.col("__before")) & F.col(name).isNotNull()
+    marked = df.where(F.col(name).isNotNull()).withColumn("__before", F.lag(name).over(w)).withColumn("__n", F.row_number().over(Window.partitionBy(key, name).orderBy(*order)))
+    fits = (F.col("__n") == 1) & (F.col(depth) > 0) & (F.col(name) != F.col("__before"))
     return marked.where(fits).drop("__before", "__n")
 
 
