@@ -64,3 +64,10 @@ def explode_values(df: DataFrame, json: str) -> DataFrame:
     for x in leaves[1:]:
         made = made.union(x)
     return made
+
+
+def restored(column: Column, history: str, value: str, before: str) -> Column:
+    """A struct whose value is again what its history says it was, without the history; as it is, less the history, where
+    there is none."""
+    kept = F.coalesce(column[history][before], column[value])
+    return F.when(column.isNotNull(), column.withField(value, kept).dropFields(history))

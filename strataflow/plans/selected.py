@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions import coordinates, names
-from strataflow.operators import selection, windows
+from strataflow.operators import nested, selection, windows
 from strataflow.plans.labelled import _answers, _case
 from strataflow.plans.space import points
 from strataflow.registry import query
@@ -196,3 +196,48 @@ def parse_places(part: DataFrame) -> DataFrame:
     text = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
     read = part.select("p_partkey", coordinates.place(text).alias("p"))
     return read.select("p_partkey", F.round("p.lat", 8).alias("lat"), F.round("p.lon", 8).alias("lon"), "p.format")
+
+
+@query(
+    """with u as (select p_type, arg_min(p_name, p_partkey) as ref from part group by 1)
+    select p_partkey, case when p_size % 4 > 0 then part.p_type end as link, u.ref as reference from part left join u on u.p_type = case when p_size % 4 > 0 then part.p_type end""",
+    "part",
+)
+def unit_references(part: DataFrame) -> DataFrame:
+    """The first reference of each unit, joined to the polygons that link to it."""
+    first = windows.first_by(part.select("p_type", "p_name", "p_partkey"), ["p_type"], [F.col("p_partkey")]).select(F.col("p_type").alias("link"), F.col("p_name").alias("reference"))
+    return part.select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_type")).alias("link")).join(first, "link", "left").select("p_partkey", "link", "reference")
+
+
+@query(
+    """select event_id, user_id, coalesce(c_name, 'station ' || user_id) as station, c_mktsegment as kind from events left join (select * from customer where c_acctbal > 0) on user_id = c_custkey""",
+    "events",
+    "customer",
+)
+def station_readings(events: DataFrame, customer: DataFrame) -> DataFrame:
+    """Readings with what is known of their station; a station without an entry is named by its number."""
+    known = customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), "c_name", F.col("c_mktsegment").alias("kind"))
+    return events.join(known, "user_id", "left").select("event_id", "user_id", F.coalesce("c_name", F.concat(F.lit("station "), F.col("user_id"))).alias("station"), "kind")
+
+
+@query(
+    """select o_orderkey, case when o_orderstatus = 'F' then null when o_orderkey % 3 = 0 then o_totalprice else o_totalprice * 2 end as confidence from orders""",
+    "orders",
+)
+def confidence_restored(orders: DataFrame) -> DataFrame:
+    """Values put back to what they were before agreement was counted in."""
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    history = F.when(key % 3 == 0, F.struct(price.alias("confidence_before")))
+    value = F.when(F.col("o_orderstatus") != "F", F.struct((price * 2).alias("confidence"), history.alias("agreement")))
+    return orders.select("o_orderkey", nested.restored(value, "agreement", "confidence", "confidence_before").alias("v")).select("o_orderkey", "v.confidence")
+
+
+@query(
+    """select event_id, coalesce(case when event_id % 11 = 0 then event_id % 2 = 0 end, event_type in ('error', 'purchase') or props like '%"k": 9%') as images from events""",
+    "events",
+)
+def images_wanted(events: DataFrame) -> DataFrame:
+    """Whether an item needs images: as it says itself, else by its reason or the words of its detail."""
+    said = F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 2 == 0)
+    rule = F.col("event_type").isin("error", "purchase") | F.coalesce(F.col("props").rlike('"k": 9'), F.lit(False))
+    return events.select("event_id", F.coalesce(said, rule).alias("images"))
