@@ -143,10 +143,11 @@ def topmost_feature(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     "lineitem",
 )
 def feature_cards(orders: DataFrame, customer: DataFrame, nation: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """A card for each feature: its source, place, and three best alternatives. Alternatives are gathered by key before
-    the star join; Catalyst broadcasts the small sides."""
-    place = F.struct((-F.col("l_discount")).alias("d"), "l_partkey", "l_linenumber", "l_suppkey")
-    best = lineitem.where("l_tax < 0.05").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(place)), 1, 3).alias("b"))
+    """A card for each feature: its source, place, and three best alternatives. Alternatives are cut to three a key before
+    they are gathered; Catalyst broadcasts the small sides."""
+    order = [F.col("l_discount").desc(), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    first = windows.top(lineitem.where("l_tax < 0.05").select("l_orderkey", "l_discount", "l_partkey", "l_linenumber", "l_suppkey"), ["l_orderkey"], order, 3)
+    best = first.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "l_partkey"))).alias("b"))
     others = F.array_join(F.transform("b", lambda x: x["l_partkey"].cast("string")), ",")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(best, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("o_orderkey", F.col("c_name").alias("source"), F.col("n_name").alias("county"), F.coalesce(others, F.lit("")).alias("others"), F.when(F.col("n_regionkey") == 0, None).otherwise(F.col("c_mktsegment")).alias("layer"))
