@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import bpe, chat, decontaminate, html, mixing, ordinal, quality, secrets, simhash, suffix_tree, warc
+from strataflow.llm import bpe, chat, decontaminate, divergence, html, lloyd, mixing, ordinal, quality, secrets, simhash, suffix_tree, warc
 from strataflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": _over(secrets.query, "documents"),
     "op9_decontamination": _over(decontaminate.query, "documents", "benchmark"),
     "op10_warc": _over(warc.query, "pages"),
+    "op11_source_divergence": _over(divergence.query, "documents"),
+    "op12_delta_lloyd": _over(lloyd.query, "embeddings"),
     "op13_source_mix": _over(mixing.query, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_tool_calls": chat.ORACLE, "op13_source_mix": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_tool_calls": chat.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_delta_lloyd": lloyd.ORACLE, "op13_source_mix": mixing.ORACLE}
