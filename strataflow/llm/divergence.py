@@ -31,7 +31,7 @@ from strataflow.llm.common import materialise, small_enough
 
 LEAST_DOCUMENTS, SMOOTH, SCALE, RANKS = 30, 5, 1_000_000_000, 50
 #: Different (lang, source, term) that a task holds before it hands them on; bytes of text that are split at once.
-HELD, PIECE = 200_000, 1 << 20
+HELD, PIECE = 50_000, 1 << 20
 #: Rows of groups up to which they are broadcast.
 MOST_GROUPS = 20_000
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
