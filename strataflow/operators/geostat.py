@@ -1,8 +1,9 @@
 """Geostatistics of the points of a surface: variograms from pair sums, kriging, and orders between stacked surfaces.
 
-A surface is a key; its points are (x, y, z). Pair sums never gather a surface in one task. Kriging inverts one matrix
-of a surface's points, so it gathers each surface: it refuses surfaces of more than MOST points (their rows get null
-estimates and the reason). Null coordinates and values are left out; points that coincide must be merged first.
+A surface is a key; its points are (x, y, z). Pair sums are made from pairs of blocks of points, so no surface is
+gathered in one task. `kriging_loo` inverts one matrix of a surface's points, so it gathers each surface: it leaves
+surfaces of more than MOST points (their rows get null estimates and the reason) to kriging.without, which takes the
+nearest points alone. Null coordinates and values are left out; points that coincide must be merged first.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators import blocks, hulls
+
+#: Rows of surfaces up to which they are broadcast.
+MOST_KEYS = 100_000
 #: Points of a surface that are solved together: one matrix of 8 * MOST ** 2 bytes.
 MOST = 3000
 KINDS = ("spherical", "exponential", "gaussian")
@@ -25,14 +30,21 @@ def shape(kind: str, h: Column, a: Column) -> Column:
     return 1 - F.exp(-3 * r) if kind == "exponential" else 1 - F.exp(-3 * r * r)
 
 
+def spread(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """key and apart, the largest distance between two of a key's points: between two corners of their hull."""
+    corners = hulls.hulls(points, key, x, y).select(key, F.explode("hull").alias("p")).select(F.col(key).alias("__h"), "p.x", "p.y")
+    corners = corners.withColumn("__i", F.struct("x", "y"))
+    far = blocks.pairs(corners, "__h", "__i", {"d": F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))})
+    return far.groupBy(F.col("__h").alias(key)).agg(F.max("d").alias("apart"))
+
+
 def lags(points: DataFrame, key: str, name: str, x: str, y: str, z: str, bins: int = 12) -> DataFrame:
     """key, bin, lag, gamma and n: pairs of a surface's points up to half the largest distance, in bins of equal width
     with three pairs or more. The sums are combined before the shuffle."""
     p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(key, name, x, y, z)
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))
-    pairs = p.alias("a").join(p.alias("b"), on).select(F.col(f"a.{key}").alias(key), F.hypot(F.col(f"a.{x}") - F.col(f"b.{x}"), F.col(f"a.{y}") - F.col(f"b.{y}")).alias("d"), (0.5 * F.pow(F.col(f"a.{z}") - F.col(f"b.{z}"), 2)).alias("g"))
-    longest = pairs.groupBy(key).agg((F.max("d") / 2).alias("most"))
-    within = pairs.join(longest, key).where((F.col("d") > 0) & (F.col("d") <= F.col("most")))
+    pairs = blocks.pairs(p, key, name, {"d": F.hypot(F.col(f"a.{x}") - F.col(f"b.{x}"), F.col(f"a.{y}") - F.col(f"b.{y}")), "g": 0.5 * F.pow(F.col(f"a.{z}") - F.col(f"b.{z}"), 2)})
+    longest = spread(p, key, x, y).select(key, (F.col("apart") / 2).alias("most"))
+    within = pairs.join(F.broadcast(longest) if longest.limit(MOST_KEYS + 1).count() <= MOST_KEYS else longest, key).where((F.col("d") > 0) & (F.col("d") <= F.col("most")))
     bin_of = F.least(F.floor(F.col("d") / (F.col("most") / bins)), F.lit(bins - 1)).cast("int")
     return within.groupBy(key, bin_of.alias("bin")).agg(F.avg("d").alias("lag"), F.avg("g").alias("gamma"), F.count("*").alias("n")).where("n >= 3")
 

@@ -37,14 +37,16 @@ def anisotropy(points: DataFrame, key: str, name: str, x: str, y: str, z: str, a
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("azimuth"), F.lit(float(r)).alias("ratio")) for a, r in tried)))
     rows = points.where(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(key, name, x, y, z, each.alias("c"))
     u, v = stretched(F.col(x), F.col(y), F.col("c.azimuth"), F.col("c.ratio"))
-    rows = rows.select(F.struct(F.col(key).alias("key"), "c.azimuth", "c.ratio").alias("k"), F.col(name).alias("i"), u.alias("u"), v.alias("v"), F.col(z).cast("double").alias("z"))
+    candidate = F.struct(F.col(key).alias("key"), "c.azimuth", "c.ratio")
+    parts = rows.select(candidate.alias("k")).schema["k"].dataType
+    rows = rows.select(F.to_json(candidate).alias("k"), F.col(name).alias("i"), u.alias("u"), v.alias("v"), F.col(z).cast("double").alias("z"))
     # Arrow carries the names of each candidate's points as text.
     named = F.struct("k", "i")
     kind = rows.select(named.alias("p")).schema["p"].dataType
     rows = rows.withColumn("p", F.to_json(named))
     models = geostat.fits(geostat.lags(rows, "k", "i", "u", "v", "z"), "k")
     errors = geostat.kriging_loo(rows, models, "k", "p", "u", "v", "z", drift).where("reason is null")
-    scored = errors.groupBy(F.from_json("p", kind)["k"].alias("k")).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")).join(models.select("k", "kind"), "k")
+    scored = errors.groupBy(F.from_json("p", kind)["k"].alias("k")).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")).join(models.select("k", "kind"), "k").withColumn("k", F.from_json("k", parts))
     best = F.min_by(F.struct("k.azimuth", "k.ratio", "kind", "rmse"), F.struct("rmse", "k.ratio", "k.azimuth"))
     return scored.groupBy(F.col("k.key").alias(key)).agg(best.alias("b")).select(key, "b.*")
 

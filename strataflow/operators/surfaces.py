@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators import blocks
+
 #: Points closer than this coincide.
 SAME = 1e-9
 DEGREES = {"constant": 1, "linear": 3, "quadratic": 6}
@@ -48,10 +50,13 @@ def trend(df: DataFrame, key: str, x: str, y: str, z: str, drift: str = "linear"
 
 def idw_loo(points: DataFrame, name: str, key: str, x: str, y: str, z: str) -> DataFrame:
     """name and estimate: the inverse-square-distance mean of the key's other points; at a point that coincides with
-    another one, the value of that one (of the first by name)."""
+    another one, the value of that one (of the first by name). Points without others, or with a null, have no row.
+    Pairs of blocks of points are summed before the shuffle."""
     d2 = F.pow(F.col(f"a.{x}") - F.col(f"b.{x}"), 2) + F.pow(F.col(f"a.{y}") - F.col(f"b.{y}"), 2)
-    pairs = points.alias("a").join(points.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{name}") != F.col(f"b.{name}")))
-    rows = pairs.select(F.col(f"a.{name}").alias(name), F.col(f"b.{name}").alias("__other"), F.col(f"b.{z}").alias("__z"), d2.alias("__d2"))
+    side = lambda i, o: F.struct(F.col(f"{i}.{name}").alias("i"), F.col(f"{o}.{name}").alias("other"), F.col(f"{o}.{z}").cast("double").alias("z"))
+    whole = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    pairs = blocks.pairs(whole, key, name, {"__d2": d2, "__s": F.array(side("a", "b"), side("b", "a"))})
+    rows = pairs.select("__d2", F.explode("__s").alias("s")).select("__d2", F.col("s.i").alias(name), F.col("s.other").alias("__other"), F.col("s.z").alias("__z"))
     far = F.col("__d2") >= SAME * SAME
     exact = F.min(F.when(~far, F.struct("__other", "__z")))["__z"]
     mean = F.sum(F.when(far, F.col("__z") / F.col("__d2"))) / F.sum(F.when(far, 1 / F.col("__d2")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions import geodesy
-from strataflow.operators import links, spatial
+from strataflow.operators import links, nearest, spatial
 from strataflow.registry import query
 
 #: A ring with a notch, and a conformal conic zone, used on both sides.
@@ -170,17 +170,14 @@ def transverse_mercator(embeddings: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""with p as ({_POINTS}) select a.vec_id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as nearest from p a join p b on a.label = b.label and a.vec_id <> b.vec_id and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1 group by 1""",
+    f"""with p as ({_POINTS}) select a.vec_id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as nearest from p a left join p b on a.label = b.label and a.vec_id <> b.vec_id group by 1""",
     "embeddings",
 )
 def nearest_neighbour(embeddings: DataFrame) -> DataFrame:
-    """The distance to the nearest point of the same surface, within a limit, through cells."""
-    from strataflow.operators import joins
-
-    p = points(embeddings).drop("z")
-    q = p.select(*(F.col(c).alias(f"o_{c}") for c in p.columns))
-    pairs = joins.distance_join(p, q, "x", "y", "o_x", "o_y", 0.1, (F.col("label") == F.col("o_label")) & (F.col("vec_id") != F.col("o_vec_id")))
-    return pairs.groupBy("vec_id").agg(F.round(F.min("distance"), 6).alias("nearest"))
+    """The distance to the nearest point of the same surface, through a tree of cells."""
+    p = points(embeddings)
+    found = nearest.k_nearest(p, p, 1, "vec_id", "label", "x", "y", "vec_id", others=True)
+    return p.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.round("distance", 6).alias("nearest"))
 
 
 @query(
