@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators import ordered
+from strataflow.operators.windows import no_clash
+
 
 def cells(df: DataFrame, x: str, y: str, size: float, around: bool = False) -> DataFrame:
     """df with the integer cell __cx, __cy of each point, or one row for each of the nine cells around it."""
@@ -35,17 +38,18 @@ def source_pairs(points: DataFrame, most: float) -> DataFrame:
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """left with the value and time (__rts) of right's nearest row of the same key; of equally near ones the earlier.
 
-    Of right rows at one time the one with the least value counts. The sides are laid one after the other and carried
-    forward and back along time: one shuffle, no pairs.
+    Of right rows at one time the one with the least value counts. The sides are laid one after the other, dealt by
+    ranges of time, and carried forward and back, over the parts too: a key of any size is spread over tasks, and no pairs
+    are made. Rows of left with a null key or time find nothing; columns nearest_ts and nearest_value must not be there.
     """
-    right = right.groupBy(key, ts).agg(F.min(value).alias(value))
+    no_clash(left, "nearest_ts", "nearest_value")
+    right = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, ts).agg(F.min(value).alias(value))
     both = left.select(*left.columns, F.lit(None).cast(right.schema[ts].dataType).alias("__rts"), F.lit(None).cast(right.schema[value].dataType).alias("__rv"), F.lit(1).alias("__left"))
     other = right.select(*(F.col(c) if c in (key, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(ts).alias("__rts"), F.col(value).alias("__rv"), F.lit(0).alias("__left"))
-    w = Window.partitionBy(key).orderBy(ts, "__left")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.col(ts).desc(), "__left").rowsBetween(Window.unboundedPreceding, 0)
+    order = [ts, "__left"]
+    parts = ordered.in_parts(both.unionByName(other), [key], order)
     hit = F.when(F.col("__left") == 0, F.struct("__rts", "__rv"))
-    found = both.unionByName(other).withColumn("__b", F.last(hit, True).over(back)).withColumn("__a", F.last(hit, True).over(ahead)).where("__left = 1")
+    found = ordered.following(ordered.previous(parts, [key], order, hit, "__b"), [key], order, hit, "__a").where("__left = 1")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     before, after = micros(F.col(ts)) - micros(F.col("__b.__rts")), micros(F.col("__a.__rts")) - micros(F.col(ts))
     pick = F.when(F.col("__a").isNull() | (before <= after), F.col("__b")).otherwise(F.col("__a"))

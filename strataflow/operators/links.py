@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.functions.names import name_key
+from strataflow.operators import geostat
 from strataflow.operators.lineage import cut
 
 
@@ -23,21 +25,45 @@ def prefix_ancestor(df: DataFrame, key: str, named: DataFrame, name: str, separa
     return rows.join(best, "__row", "left").drop("__row")
 
 
-def follow(entries: DataFrame, name: str, replaced_by: str, most: int = 1000) -> DataFrame:
-    """entries with current: where the chain of replacements ends. A chain that meets itself ends at the name met again;
-    a replacement that is no entry ends it before. Names are unique. Rounds are the longest chain; each is one join."""
-    step = entries.select(F.col(name).alias("__at"), F.col(replaced_by).alias("__next")).join(entries.select(F.col(name).alias("__next")), "__next", "left_semi")
-    state = entries.select(F.col(name).alias("__name"), F.col(name).alias("__at"), F.array(F.col(name)).alias("__seen"), F.lit(True).alias("__open"))
-    for _ in range(most):
-        moved = state.where("__open").join(step, "__at", "left")
-        again = F.array_contains("__seen", F.col("__next"))
-        open_ = F.col("__next").isNotNull() & ~F.coalesce(again, F.lit(False))
-        moved = moved.select("__name", F.coalesce("__next", "__at").alias("__at"), F.when(open_, F.array_append("__seen", F.col("__next"))).otherwise(F.col("__seen")).alias("__seen"), open_.alias("__open"))
-        state = cut(state.where("not __open").unionByName(moved))
-        if state.where("__open").isEmpty():
-            break
-    found = state.select(F.col("__name"), F.col("__at").alias("current"))
-    return entries.join(found, F.col(name) == F.col("__name"), "left").drop("__name")
+def _jumped(links: DataFrame) -> DataFrame:
+    """__n, __at and __open for links (__n, __at, at most one from each): where the links from __n end; __open: they lead
+    round in a circle, and __at lies on it. Each round doubles how far every name has gone, so rounds are the logarithm
+    of the longest chain, or, with circles, of the number of links."""
+    state, far, links_left = cut(links.withColumn("__open", F.lit(True))), 1, None
+    while True:
+        there = state.select(F.col("__n").alias("__m"), F.col("__at").alias("__to"), F.col("__open").alias("__more"))
+        moved = state.where("__open").join(there, F.col("__at") == F.col("__m"), "left")
+        moved = moved.select("__n", F.coalesce("__to", "__at").alias("__at"), F.coalesce("__more", F.lit(False)).alias("__open"))
+        state, far = cut(state.where("not __open").unionByName(moved)), 2 * far
+        links_left = links_left or state.count()
+        if far > links_left or state.where("__open").isEmpty():
+            return state
+
+
+def follow(entries: DataFrame, name: str, replaced_by: str) -> DataFrame:
+    """entries with current: where the chain of replacements ends, of any length. A chain that meets itself ends at the
+    name met again: the first one on the circle. A replacement that is no entry ends the chain before it. Names are
+    unique; a null name has itself as current."""
+    known = entries.select(F.col(name).alias("__k")).where("__k is not null").distinct()
+    links = cut(entries.select(F.col(name).alias("__n"), F.col(replaced_by).alias("__at")).where("__n is not null").join(known, F.col("__at") == F.col("__k"), "left_semi"))
+    ends = _jumped(links)
+    circle = cut(ends.where("__open").select(F.col("__at").alias("__c")).distinct())
+    if not circle.isEmpty():  # who goes round is where all that never end have come to; chains into a circle end there
+        ends = _jumped(links.join(circle, F.col("__n") == F.col("__c"), "left_anti"))
+    found = ends.select("__n", F.col("__at").alias("__end"))
+    return entries.join(found, F.col(name) == F.col("__n"), "left").withColumn("current", F.coalesce("__end", F.col(name))).drop("__n", "__end")
+
+
+def resolved(df: DataFrame, unit: str, lexicon: DataFrame) -> DataFrame:
+    """df with entry, the current name in a lexicon (name, replaced_by) of the place that a unit's name holds, and
+    canonical: the entry, else the place alone, else null. Case does not count in names; of several replacements the
+    first counts; of entries alike but for case the least name."""
+    first = F.nullif(F.lower(F.trim(F.get(F.split("replaced_by", r"\s+(?:and|or)\s+|,"), 0))), F.lit(""))
+    entries = lexicon.where("name is not null").groupBy(F.lower("name").alias("__key")).agg(F.min_by(F.struct("name", first.alias("next")), "name").alias("e")).select("__key", F.col("e.name").alias("__name"), F.col("e.next").alias("__next"))
+    ends = follow(entries, "__key", "__next").select(F.col("__key").alias("__from"), F.col("current").alias("__to"))
+    names = ends.join(entries.select(F.col("__key").alias("__k"), F.col("__name").alias("entry")), F.col("__to") == F.col("__k")).select("__from", "entry")
+    keyed = df.withColumn("__place", name_key(F.col(unit))["name"])
+    return keyed.join(names, F.col("__place") == F.col("__from"), "left").withColumn("canonical", F.coalesce("entry", "__place")).drop("__place", "__from")
 
 
 def shared(left: DataFrame, right: DataFrame, keys: Column, left_id: str, right_id: str) -> DataFrame:
@@ -49,14 +75,9 @@ def shared(left: DataFrame, right: DataFrame, keys: Column, left_id: str, right_
 
 def conflicts(places: DataFrame, key: str, x: str, y: str, limit: float) -> DataFrame:
     """key, n, apart (the largest distance between places of a key) and conflict (apart is over the limit). The farthest
-    two places are corners of the hull of extremes in 16 directions, which is all that a key keeps; the distance found
-    is at most half a percent too small, never too large."""
-    import math
-
-    angles = [math.pi * k / 16 for k in range(16)]
-    along = [F.col(x) * math.cos(t) + F.col(y) * math.sin(t) for t in angles]
-    ends = [f(F.struct(d.alias("d"), F.col(x).alias("x"), F.col(y).alias("y"))) for d in along for f in (F.min, F.max)]
-    kept = places.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array(*ends).alias("__ends"))
-    distances = F.transform("__ends", lambda p: F.array_max(F.transform("__ends", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))))
-    apart = F.array_max(distances)
-    return kept.select(key, "n", apart.alias("apart"), (apart > limit).alias("conflict"))
+    two places are corners of the key's hull, which is made in two steps, so a hot key shrinks before the shuffle."""
+    there = places.where(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    counts = there.groupBy(key).agg(F.count("*").alias("n"))
+    far = geostat.spread(there, key, x, y).withColumnRenamed(key, "__key")
+    found = counts.join(far, F.col(key) == F.col("__key"), "left").withColumn("apart", F.coalesce("apart", F.lit(0.0)))
+    return found.select(key, "n", "apart", (F.col("apart") > limit).alias("conflict"))

@@ -11,16 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataflow.operators.lineage import cut
+from strataflow.operators.windows import no_clash
+
 
 def column_once(df: DataFrame, keys: list[str], order: list[str], columns: list[Column]) -> DataFrame:
     """keys, rows (JSON arrays of the columns' values, in order, without their names) and n."""
     values = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
     listed = F.sort_array(F.collect_list(F.struct(*order, values.alias("__v"))))
     made = df.groupBy(*keys).agg(listed.alias("__l"), F.count("*").alias("n"))
-    text = F.transform("__l", lambda x: F.concat(F.lit("["), F.array_join(F.array(*(F.to_json(F.array(x["__v"][f"c{i}"])) for i in range(len(columns)))), ","), F.lit("]")))
-    # Each value is written alone, so its brackets go.
-    plain = F.transform(text, lambda t: F.regexp_replace(t, r"\[([^\[\]]*)\](?=[,\]])", "$1"))
-    return made.select(*keys, F.concat(F.lit("["), F.array_join(plain, ","), F.lit("]")).alias("rows"), "n")
+    # Each value is written as {"v":...}, of which the middle stays.
+    alone = lambda v: F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"})
+    value = lambda v: alone(v).substr(F.lit(6), F.char_length(alone(v)) - 6)
+    text = F.transform("__l", lambda x: F.concat(F.lit("["), F.array_join(F.array(*(value(x["__v"][f"c{i}"]) for i in range(len(columns)))), ","), F.lit("]")))
+    return made.select(*keys, F.concat(F.lit("["), F.array_join(text, ","), F.lit("]")).alias("rows"), "n")
 
 
 def pruned(df: DataFrame, column: str, drop: Callable[[Column], Column]) -> DataFrame:
@@ -48,22 +52,24 @@ def violations(schema: T.StructType, column: Column, path: str = "$", required:
 
 
 def explode_values(df: DataFrame, json: str) -> DataFrame:
-    """df with path and value of every leaf of a JSON text, through variants, one level a step of its depth."""
-    rows = df.withColumn("__v", F.try_parse_json(json)).where("__v is not null").select(*df.columns, F.lit("$").alias("path"), "__v")
-    leaves = []
-    for _ in range(16):
-        kind = F.schema_of_variant("__v")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves.append(rows.where(~inner).select(*df.columns, "path", F.to_json("__v").alias("value")))
-        rows.createOrReplaceTempView("__variants")
-        names = ", ".join(f"r.`{c}`" for c in df.columns)
-        rows = df.sparkSession.sql(f"select {names}, case when e.key is null then concat(r.path, '[', e.pos, ']') else concat(r.path, '.', e.key) end as path, e.value as __v from __variants r, lateral variant_explode(r.__v) e where schema_of_variant(r.__v) like 'OBJECT%' or schema_of_variant(r.__v) like 'ARRAY%'")
+    """df with path and value of every leaf of a JSON text, through variants, one level a round until none is left, so of
+    any depth. Texts that are no JSON, and empty objects and arrays, have no leaves; columns `path` and `value` must not be
+    there."""
+    no_clash(df, "path", "value")
+    kept = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+    rows = cut(df.select(kept, F.try_parse_json(json).alias("__v")).where("__v is not null").select("__row", F.lit("$").alias("path"), F.to_json("__v").alias("value")))
+    found = None
+    while True:
+        v = F.parse_json("value")
+        parsed = rows.withColumn("__v", v).withColumn("__inner", F.schema_of_variant("__v").rlike("^(OBJECT|ARRAY)"))
+        leaves = parsed.where("not __inner").select("__row", "path", "value")
+        found = leaves if found is None else found.union(leaves)
+        each = df.sparkSession.tvf.variant_explode(F.col("__v").outer())
+        inner = parsed.where("__inner").select("__row", "path", "__v").lateralJoin(each)
+        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), F.col("key")))
+        rows = cut(inner.select("__row", step.alias("path"), F.to_json(inner["value"]).alias("value")))
         if rows.isEmpty():
-            break
-    made = leaves[0]
-    for x in leaves[1:]:
-        made = made.union(x)
-    return made
+            return found.select("__row.*", "path", "value")
 
 
 def restored(column: Column, history: str, value: str, before: str) -> Column:

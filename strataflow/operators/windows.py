@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.operators import ordered
+from strataflow.operators.lineage import cut
+
+
+def no_clash(df: DataFrame, *names: str) -> None:
+    """Made columns must not be there before."""
+    for name in names:
+        if name in df.columns:
+            raise ValueError(f"{name} is a column already")
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the one with the greatest order tuple. A struct maximum is combined before the shuffle."""
@@ -32,15 +42,22 @@ def upper_median(values: Column) -> Column:
 
 def gap_segments(df: DataFrame, key: str, ts: str, factor: float, least_seconds: float, value: str | None = None) -> DataFrame:
     """df with segment: a number that grows where the step in time exceeds max(factor * upper-median step, least).
-    With value, rows where it is null or not finite break the line too and are left out; their steps count."""
-    w = Window.partitionBy(key).orderBy(ts)
-    step = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
+    With value, rows where it is null or not finite break the line too and are left out; their steps count. Rows are
+    dealt by ranges of time, so a key of any size is spread over tasks: the row before, the median step and the running
+    number of breaks go over the parts. Rows with a null key or time are left out; a column `segment` must not be there."""
+    no_clash(df, "segment")
     there = F.lit(True) if value is None else F.coalesce(F.abs(F.col(value).cast("double")) < float("inf"), F.lit(False))
-    stepped = df.withColumn("__there", there).withColumn("__step", step).withColumn("__after", F.coalesce(~F.lag("__there").over(w), F.lit(False)))
-    limits = stepped.groupBy(key).agg(upper_median(F.collect_list("__step")).alias("__median"))
-    limits = limits.withColumn("__limit", F.greatest(F.lit(factor) * F.col("__median"), F.lit(least_seconds * 1e6)))
-    broken = stepped.join(limits, key).withColumn("__break", (F.coalesce(F.col("__step") > F.col("__limit"), F.lit(False)) | F.col("__after")).cast("int"))
-    return broken.withColumn("segment", F.sum("__break").over(w)).where("__there").drop("__there", "__step", "__after", "__median", "__limit", "__break")
+    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__there", there)
+    order = ["__t", "__there"]
+    parts = ordered.in_parts(rows, [key], order)
+    stepped = ordered.previous(parts, [key], order, F.struct("__t", "__there"), "__last").withColumn("__step", F.col("__t") - F.col("__last.__t"))
+    stepped = cut(stepped.withColumn("__after", F.coalesce(~F.col("__last.__there"), F.lit(False))).drop("__last"))
+    middle = ordered.at_rank(stepped.where("__step is not null").select(F.col(key).alias("__key"), "__step"), ["__key"], ["__step"], F.floor(F.col("n") / 2) + 1)
+    limits = middle.select("__key", F.greatest(F.lit(factor) * F.col("__step"), F.lit(least_seconds * 1e6)).alias("__limit"))
+    broken = stepped.join(limits, F.col(key) == F.col("__key"), "left").drop("__key")
+    breaks = (F.coalesce(F.col("__step") > F.col("__limit"), F.lit(False)) | F.col("__after")).cast("int")
+    found = ordered.running_sum(broken, [key], order, breaks, "segment").where("__there")
+    return found.select(*df.columns, "segment")
 
 
 def islands(df: DataFrame, key: str, number: str) -> DataFrame:
@@ -51,7 +68,12 @@ def islands(df: DataFrame, key: str, number: str) -> DataFrame:
 
 
 def within_budget(df: DataFrame, key: str, order: list[Column], cost: Column, budget: float) -> DataFrame:
-    """Rows of each key, in order, while their running cost stays within the budget; the first one always."""
-    w = Window.partitionBy(key).orderBy(*order)
-    numbered = df.withColumn("__n", F.row_number().over(w)).withColumn("__spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.where((F.col("__n") == 1) | (F.col("__spent") <= budget)).drop("__n", "__spent")
+    """Rows of each key, in ascending order, while their running cost (nulls cost nothing) stays within the budget; the
+    first one always. Rows are dealt by ranges of the order, so a key of any size is spread over tasks. order must tell
+    the rows of a key apart; null keys are a key."""
+    names = [f"__o{i}" for i in range(len(order))]
+    rows = df.select(*df.columns, *(o.alias(n) for o, n in zip(order, names, strict=True)), cost.alias("__cost"))
+    parts = ordered.in_parts(rows, [key], names)
+    spent = ordered.running_sum(parts, [key], names, F.col("__cost"), "__spent")
+    found = ordered.running_sum(spent, [key], names, F.lit(1), "__n")
+    return found.where((F.col("__n") == 1) | (F.col("__spent") <= budget)).select(*df.columns)

@@ -206,7 +206,7 @@ def page_ranges(conversations: DataFrame) -> DataFrame:
 @query("select doc_id, source, n_chars from (select doc_id, source, n_chars, row_number() over w as n, sum(n_chars) over (w rows unbounded preceding) as spent from documents window w as (partition by source order by n_chars desc, doc_id)) where n = 1 or spent <= 40000", "documents")
 def budget_take(documents: DataFrame) -> DataFrame:
     """Rows per source while their sizes fit a budget; the first always."""
-    return windows.within_budget(documents.select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars"), 40000)
+    return windows.within_budget(documents.select("doc_id", "source", "n_chars"), "source", [-F.col("n_chars"), F.col("doc_id")], F.col("n_chars"), 40000)
 
 
 @query(
