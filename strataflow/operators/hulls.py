@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,10 @@ def hulls(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
     small = plain.mapInPandas(shrunk, f"k {kind}, x double, y double")
     return small.groupBy("k").applyInPandas(whole, f"k {kind}, hull array<struct<x:double,y:double>>").withColumnRenamed("k", key)
+
+
+def inside(hull: Column, x: Column, y: Column, slack: float = 1e-9) -> Column:
+    """Whether a place lies in a hull of three corners or more, or as near to its sides as the slack (an area); with a
+    negative slack, so far within them."""
+    turns = F.zip_with(hull, F.concat(F.slice(hull, 2, F.size(hull)), F.slice(hull, 1, 1)), lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]))
+    return F.coalesce((F.size(hull) > 2) & F.forall(turns, lambda t: t >= -slack), F.lit(False))

@@ -111,9 +111,7 @@ def estimates(places: DataFrame, points: DataFrame, models: DataFrame, place: st
     shapes = hulls.hulls(points.where(F.col(z).isNotNull()), key, x, y).select(F.col(key).alias("__k3"), "hull")
     found = predicted(places, points, models, place, key, x, y, name, z, k).withColumnRenamed(place, "__p")
     rows = places.select(place, key, x, y).join(found, F.col(place) == F.col("__p")).join(msse, F.col(key) == F.col("__k"), "left").join(side, F.col(key) == F.col("__k2"), "left").join(shapes, F.col(key) == F.col("__k3"), "left")
-    px, py, scale = F.col(x), F.col(y), 1e-9
-    turns = F.zip_with("hull", F.concat(F.slice("hull", 2, F.size("hull")), F.slice("hull", 1, 1)), lambda a, b: (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"]))
-    inside = F.coalesce((F.size("hull") > 2) & F.forall(turns, lambda t: t >= -scale), F.lit(False))
+    inside = hulls.inside(F.col("hull"), F.col(x), F.col(y))
     standing = modelling.standing(F.col("nearest"), inside, F.coalesce("limit", F.lit(0.0)), F.sqrt("variance"), modelling.calibration(F.col("__msse"), 0.25, 20.0), least)
     rows = rows.withColumn("__s", standing)
     allowed = F.col("__s.value_allowed") & F.col("value").isNotNull()

@@ -26,7 +26,7 @@ LEAF, FAN, LEVELS = 8, 4, 14
 MOST_CELLS = 200_000
 
 
-def _finite(*columns: str) -> Column:
+def finite(*columns: str) -> Column:
     return reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns))
 
 
@@ -76,14 +76,19 @@ def _kept(frontier: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("bound", F.min("sure").over(place)).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-9))).drop("near", "far", "sure", "bound")
 
 
-def k_nearest(places: DataFrame, points: DataFrame, k: int, place: str, key: str, x: str, y: str, name: str, others: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+def table(points: DataFrame, key: str, x: str, y: str, name: str, carried: tuple[str, ...] = ()) -> tuple[list[DataFrame], DataFrame]:
+    """The tree of points, for k_nearest to use more than once."""
+    return tree(points.where(finite(x, y)).select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *(F.col(c).alias(f"c_{c}") for c in carried)))
+
+
+def k_nearest(places: DataFrame, points: DataFrame, k: int, place: str, key: str, x: str, y: str, name: str, others: bool = False, carried: tuple[str, ...] = (), built: tuple[list[DataFrame], DataFrame] | None = None) -> DataFrame:
     """place, distance, rank (1 to k) and of the point `name` and the carried columns, for the k nearest points of each
     place's key. places: place (unique), key, x, y; points: name, key, x, y. others: a place is not its own neighbour,
-    places being points of the same names."""
+    places being points of the same names. built: what `table` gave for the
+    points."""
     ask = k + 1 if others else k
-    table = points.where(_finite(x, y)).select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *(F.col(c).alias(f"c_{c}") for c in carried))
-    levels, leaves = tree(table)
-    at = places.where(_finite(x, y)).select(F.col(place).alias("q"), F.col(key).alias("qkey"), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy"))
+    levels, leaves = built or table(points, key, x, y, name, carried)
+    at = places.where(finite(x, y)).select(F.col(place).alias("q"), F.col(key).alias("qkey"), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy"))
     root = levels[0].drop("leaf").withColumn("level", F.lit(0)).join(levels[0].select(F.col("key").alias("__key"), "leaf"), F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
     frontier = at.join(_small(root), F.col("qkey").eqNullSafe(F.col("key"))).drop("key")
     settled = None

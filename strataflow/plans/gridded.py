@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.operators import kriging
+from strataflow.operators import kriging, natural
 from strataflow.plans.space import _POINTS, points
 from strataflow.registry import query
 
@@ -57,3 +57,11 @@ def kriging_grid(embeddings: DataFrame) -> DataFrame:
     p = points(embeddings)
     found = kriging.predicted(nodes(p), p, models(p), "node", "label", "x", "y", "vec_id", "z", NEAR)
     return found.select("node", *(F.round(c, 6).alias(c) for c in ("value", "variance", "nearest")))
+
+
+@query(None, "embeddings")
+def natural_neighbours(embeddings: DataFrame) -> DataFrame:
+    """Each point from its natural neighbours in its surface; tests hold it against cells counted out point by point."""
+    p = points(embeddings)
+    found = natural.estimated(p, p, "vec_id", "label", "x", "y", "vec_id", "z", others=True)
+    return found.select("vec_id", F.round("value", 6).alias("value"), "n")
