@@ -1,7 +1,10 @@
-"""Queries of free polygons: embeddings stand for places, around which lie polygons with a hole or crossing themselves."""
+"""Queries of free polygons: embeddings stand for places, around which lie polygons with a hole or crossing themselves.
+Polygons shrink as places get more, as maps do, so that the number of layers at a place does not grow with the table."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ CORNERS, CROSSED, HOLE = [(-1.0, -0.6), (0.9, -1.0), (1.0, 0.7), (-0.8, 1.0)], [
 
 def polygons(embeddings: DataFrame) -> DataFrame:
     x, y = (F.get("embedding", i).cast("double") for i in (0, 1))
-    r = 0.01 + F.abs(F.get("embedding", 2).cast("double")) / 8
+    r = (0.25 + 3 * F.abs(F.get("embedding", 2).cast("double"))) / F.lit(math.sqrt(max(1, embeddings.count())))
     ring = lambda points: F.array(*(c for px, py in points for c in (x + px * r, y + py * r)))
     outer = F.when(F.col("label") == 0, ring([CORNERS[i] for i in CROSSED])).otherwise(ring(CORNERS))
     return embeddings.select(F.col("vec_id").alias("id"), F.array(outer, ring(HOLE)).alias("rings"), F.col("label").alias("source"), (F.col("label") * 7 % 10).alias("place"))
@@ -26,7 +29,7 @@ def _edges() -> str:
     for which, points in (("label <> 0", CORNERS), ("label = 0", [CORNERS[i] for i in CROSSED]), ("true", HOLE)):
         for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]], strict=True):
             made.append(f"select id, source, place, x + ({ax}) * r as ax, y + ({ay}) * r as ay, x + ({bx}) * r as bx, y + ({by}) * r as by_ from places where {which}")
-    return f"""with places as (select vec_id as id, label, label as source, label * 7 % 10 as place, embedding[1]::double as x, embedding[2]::double as y, 0.01 + abs(embedding[3]::double) / 8 as r from embeddings),
+    return f"""with places as (select vec_id as id, label, label as source, label * 7 % 10 as place, embedding[1]::double as x, embedding[2]::double as y, (0.25 + 3 * abs(embedding[3]::double)) / (select sqrt(count(*)) from embeddings) as r from embeddings),
     edges as materialized (select row_number() over () as e, id, source, place, least(ax, bx) as x1, case when ax < bx then ay else by_ end as y1, greatest(ax, bx) as x2, case when ax < bx then by_ else ay end as y2
         from ({' union all '.join(made)}) where ax <> bx)"""
 
