@@ -113,7 +113,7 @@ def estimated(places: DataFrame, points: DataFrame, place: str, key: str, x: str
         near = nearest.k_nearest(left, there, k, place, key, x, y, name, others, ("__z",), built)
         packed = near.groupBy(F.col(place).alias("__place")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("near_x").alias("x"), F.col("near_y").alias("y"), F.col("__z").alias("z")))).alias("__near"))
         rows = packed.join(left.select(F.col(place).alias("__p"), F.col(key).alias("__k"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), F.col("__place") == F.col("__p")).join(counts, F.col("__k") == F.col("__key"))
-        made = cut(rows.select("__place", "__x", "__y", "__near", "__all").mapInArrow(_run, f"__place {kind}, value double, n int, sure boolean"))
+        made = cut(rows.select("__place", "__x", "__y", "__near", "__all").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__place").mapInArrow(_run, f"__place {kind}, value double, n int, sure boolean"))
         settled = made.where("sure").drop("sure")
         done = settled if done is None else done.union(settled)
         open_ = made.where("not sure")

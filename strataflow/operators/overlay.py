@@ -111,6 +111,11 @@ def in_cells(polygons: DataFrame, most: int = MOST) -> tuple[DataFrame, float]:
     return (cells if done is None else done.union(cells)).drop("n"), size
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells dealt to as many tasks as shuffles have: sweeping is long work on few bytes, which Spark would put together."""
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "level", "cx", "cy")
+
+
 def _crossings(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
     """x of proper crossings of edges with x1 < x2."""
     found, slope = [], (y2 - y1) / (x2 - x1)
@@ -124,9 +129,9 @@ def _crossings(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -
     return np.concatenate(found) if found else np.empty(0)
 
 
-def swept(ids: list[int], rings: list[list[list[float]]]) -> Iterator[tuple[float, float, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slabs of a cell from left to right: its two x, the y of the edges there, from below to above, and for the space
-    above each edge which polygons cover it."""
+def swept(rings: list[list[list[float]]]) -> Iterator[tuple[float, float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slabs of a cell from left to right: its two x, the y of the edges there, from below to above, which polygons have
+    an edge, and for the space above each edge whether they cover it."""
     edges = []
     for k, parts in enumerate(rings):
         for r in parts:
@@ -143,9 +148,10 @@ def swept(ids: list[int], rings: list[list[list[float]]]) -> Iterator[tuple[floa
         here = np.flatnonzero((x1 <= a) & (x2 >= b))
         if len(here):
             here = here[np.argsort(y1[here] + slope[here] * ((a + b) / 2 - x1[here]), kind="stable")]
-            toggles = np.zeros((len(here), len(ids)), int)
-            toggles[np.arange(len(here)), owner[here]] = 1
-            yield a, b, y1[here] + slope[here] * (a - x1[here]), y1[here] + slope[here] * (b - x1[here]), toggles.cumsum(0) % 2 == 1
+            who, at = np.unique(owner[here], return_inverse=True)
+            toggles = np.zeros((len(here), len(who)), np.int32)
+            toggles[np.arange(len(here)), at] = 1
+            yield a, b, y1[here] + slope[here] * (a - x1[here]), y1[here] + slope[here] * (b - x1[here]), who, toggles.cumsum(0) & 1 == 1
 
 
 def _areas(a: float, b: float, ya: np.ndarray, yb: np.ndarray) -> np.ndarray:
@@ -164,13 +170,13 @@ def pair_areas(polygons: DataFrame, most: int = MOST) -> DataFrame:
             parts[i] += r
         ids = sorted(parts)
         sums = np.zeros((len(ids), len(ids)))
-        for a, b, ya, yb, covered in swept(ids, [parts[i] for i in ids]):
-            sums += (covered * _areas(a, b, ya, yb)[:, None]).T @ covered
+        for a, b, ya, yb, who, covered in swept([parts[i] for i in ids]):
+            sums[np.ix_(who, who)] += (covered * _areas(a, b, ya, yb)[:, None]).T @ covered
         i, j = np.nonzero(sums > 0)
         of = np.array(ids, np.int64)
         return pa.table({"id": of[i], "other": of[j], "area": sums[i, j]})
 
-    found = cells.groupBy("level", "cx", "cy").applyInArrow(run, "id long, other long, area double")
+    found = _dealt(cells).groupBy("level", "cx", "cy").applyInArrow(run, "id long, other long, area double")
     return found.groupBy("id", "other").agg(F.sum("area").alias("area"))
 
 
@@ -233,24 +239,23 @@ def layer(polygons: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
         kept, under = np.zeros(len(ids)), np.zeros((len(ids), len(ids)))
         sides: dict[int, dict] = defaultdict(lambda: defaultdict(list))
         lines: dict[int, list] = defaultdict(list)
-        for a, b, ya, yb, covered in swept(ids, [parts[i] for i in ids]):
-            area = _areas(a, b, ya, yb)
-            best = np.where(covered, rank, len(rank)).min(1)
-            stays = covered & (rank == best[:, None])
-            kept += area @ stays
-            under += (stays * area[:, None]).T @ covered
-            ya, yb = np.round(ya / grain) * grain, np.round(yb / grain) * grain
-            before = np.vstack([np.zeros((1, len(ids)), bool), stays[:-1]])
-            for k, w in zip(*np.nonzero(stays != before), strict=True):
-                lines[w].append((a, ya[k], b, yb[k]) if stays[k, w] else (b, yb[k], a, ya[k]))
-            for k, w in zip(*np.nonzero(stays[:-1]), strict=True):
-                sides[w][b].append((yb[k], yb[k + 1], 1))
-                sides[w][a].append((ya[k], ya[k + 1], -1))
+        for a, b, ya, yb, who, covered in swept([parts[i] for i in ids]):
+            area, own = _areas(a, b, ya, yb), rank[who]
+            stays = covered & (own == np.where(covered, own, len(rank)).min(1)[:, None])
+            kept[who] += area @ stays
+            under[np.ix_(who, who)] += (stays * area[:, None]).T @ covered
+            ya, yb = (np.round(ya / grain) * grain).tolist(), (np.round(yb / grain) * grain).tolist()
+            before = np.vstack([np.zeros((1, len(who)), bool), stays[:-1]])
+            for k, w in zip(*(i.tolist() for i in np.nonzero(stays != before)), strict=True):
+                lines[who[w]].append((a, ya[k], b, yb[k]) if stays[k, w] else (b, yb[k], a, ya[k]))
+            for k, w in zip(*(i.tolist() for i in np.nonzero(stays[:-1])), strict=True):
+                sides[who[w]][b].append((yb[k], yb[k + 1], 1))
+                sides[who[w]][a].append((ya[k], ya[k + 1], -1))
         rows = [(ids[w], _rings(lines[w], sides[w]), None, kept[w]) for w in np.flatnonzero(kept > 0).tolist()]
         apart = rank[:, None] != rank[None, :]
         rows += [(ids[w], None, ids[j], under[w, j]) for w, j in zip(*(x.tolist() for x in np.nonzero((under > 0) & apart)), strict=True)]
         made = {"id": [r[0] for r in rows], "level": [level] * len(rows), "cx": [cx] * len(rows), "cy": [cy] * len(rows), "rings": [r[1] for r in rows], "other": [r[2] for r in rows], "area": [r[3] for r in rows]}
         return pa.table([pa.array(made[k], kind) for k, kind in kinds.items()], names=list(kinds))
 
-    found = cut(ranked.groupBy("level", "cx", "cy").applyInArrow(run, f"id long, {CELL}, rings array<array<double>>, other long, area double"))
+    found = cut(_dealt(ranked).groupBy("level", "cx", "cy").applyInArrow(run, f"id long, {CELL}, rings array<array<double>>, other long, area double"))
     return found.where("other is null").drop("other"), found.where("other is not null").groupBy("id", "other").agg(F.sum("area").alias("area"))
