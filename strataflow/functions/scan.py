@@ -1,8 +1,14 @@
-"""A text as tokens: numbers, words, marks, signs, gaps and single other characters, and steps along them."""
+"""A text as tokens: numbers, words, marks, signs, gaps and single other characters, steps along them, and columns read
+from them in Arrow batches."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"(?P<number>\d+(?:,\d{3}(?!\d))*(?:\.\d+)?|\.\d+)|(?P<word>[A-Za-z]+)|(?P<mark>[°º˚'′’\"″”])|(?P<sign>[-−–])|(?P<gap>\s+)|(?P<other>.)", re.DOTALL)
 
@@ -51,5 +57,19 @@ class Tokens:
     def without(self, taken: set[int]) -> Tokens:
         """These tokens with gaps in place of those taken."""
         made = Tokens("")
-        made.kinds, made.said, made.words = ([" gap"[1:] if i in taken else k for i, k in enumerate(self.kinds)], [" " if i in taken else t for i, t in enumerate(self.said)], [" " if i in taken else w for i, w in enumerate(self.words)])
+        made.kinds, made.said, made.words = (["gap" if i in taken else k for i, k in enumerate(self.kinds)], [" " if i in taken else t for i, t in enumerate(self.said)], [" " if i in taken else w for i, w in enumerate(self.words)])
         return made
+
+
+def each(ddl: str, read: Callable[[str], tuple | None], text: Column) -> Column:
+    """A struct of what is read of each text, null where nothing is."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    @F.pandas_udf(f"{ddl}, there boolean")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        rows = [read(t) if t else None for t in texts]
+        frame = pd.DataFrame([r or (None,) * len(names) for r in rows], columns=names)
+        frame = frame.astype({c.split()[0]: {"double": "float64", "int": "Int32", "boolean": "boolean", "string": "object"}[c.split()[1]] for c in ddl.split(", ")})
+        return frame.assign(there=[r is not None for r in rows])
+
+    return F.get(F.transform(F.array(made(text)), lambda r: F.when(r["there"], F.struct(*(r[n].alias(n) for n in names)))), 0)
