@@ -61,13 +61,12 @@ FACES = f"""{_edges()},
 def polygon_overlay(embeddings: DataFrame) -> DataFrame:
     """One layer of overlapping maps: own area of each polygon, area that stays under better sources, others below it."""
     shapes = polygons(embeddings)
-    own = overlay.pair_areas(shapes).where("id = other").select("id", "area")
-    pieces, under = overlay.layer(shapes)
-    kept = pieces.groupBy("id").agg(F.sum("area").alias("kept"))
-    shares = under.join(kept, "id").where("kept > 1e-10").select("id", (F.col("area") / F.col("kept")).alias("share"))
+    pieces, under = overlay.layer(shapes, outlines=False)
+    kept = pieces.groupBy("id").agg(F.sum("whole").alias("area"), F.sum("area").alias("kept"))
+    shares = under.join(kept.drop("area"), "id").where("kept > 1e-10").select("id", (F.col("area") / F.col("kept")).alias("share"))
     best = shares.groupBy("id").agg(F.count_if(F.col("share") > 0.01).alias("others"), F.round(F.max("share"), 6).alias("most"))
-    found = own.join(kept, "id", "left").join(best, "id", "left")
-    return found.select("id", F.round("area", 9).alias("area"), F.round(F.coalesce("kept", F.lit(0.0)), 9).alias("kept"), F.coalesce("others", F.lit(0).cast("long")).alias("others"), "most")
+    found = kept.join(best, "id", "left")
+    return found.select("id", F.round("area", 9).alias("area"), F.round("kept", 9).alias("kept"), F.coalesce("others", F.lit(0).cast("long")).alias("others"), "most")
 
 
 @query(
