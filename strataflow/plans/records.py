@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions import rules
+from strataflow.functions import rules, schemas
 from strataflow.operators import nested, sequences, surfaces, upsert, windows
 from strataflow.registry import query
 
@@ -260,3 +260,25 @@ def area_replace(events: DataFrame) -> DataFrame:
     latest = windows.latest_by(recent.select("user_id", "event_type", "value", "ts", "event_id"), ["user_id", "event_type"], [F.col("ts"), -F.col("event_id")])
     counts = recent.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return latest.select("user_id", "event_type", "value").join(counts, ["user_id", "event_type"])
+
+
+#: What an event's text must be.
+EVENT = {
+    "type": "object", "required": ["kind", "value"], "additionalProperties": False,
+    "properties": {"kind": {"enum": ["click", "purchase", "view"]}, "value": {"type": "number", "minimum": 20}, "tags": {"type": "array", "items": {"type": "string", "maxLength": 6}}},
+}
+
+
+@query(
+    """select event_id, concat_ws('; ', case when event_type not in ('click', 'purchase', 'view') then 'kind: must be one of ["click","purchase","view"]' end, case when value < 20 then 'value: must be 20 or more' end,
+      case when length(event_type) > 6 then 'tags[0]: longer than 6 characters' end, case when user_id % 3 = 0 then 'tags[1]: expected string, got integer' end, case when user_id % 5 = 0 then 'more: unexpected field' end) as errors from events""",
+    "events",
+)
+def schema_errors(events: DataFrame) -> DataFrame:
+    """Errors, with their paths, of JSON texts against a schema."""
+    said = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(c.alias("v")))) - 6)
+    user = F.col("user_id").cast("string")
+    tag = F.when(F.col("user_id") % 3 == 0, user).otherwise(F.concat(F.lit('"'), user, F.lit('"')))
+    more = F.when(F.col("user_id") % 5 == 0, ',"more":1').otherwise("")
+    text = F.concat(F.lit('{"kind":'), said(F.col("event_type")), F.lit(',"value":'), F.col("value").cast("string"), F.lit(',"tags":['), said(F.col("event_type")), F.lit(","), tag, F.lit("]"), more, F.lit("}"))
+    return events.select("event_id", F.array_join(schemas.errors(text, EVENT), "; ").alias("errors"))
