@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions import ages, parsing, quotes
+from strataflow.functions import ages, parsing, quotes, terms
 from strataflow.registry import query
 
 def _printed(part: DataFrame, *forms: Column) -> DataFrame:
@@ -225,3 +225,18 @@ def unit_agreement(part: DataFrame) -> DataFrame:
     n = F.col("p_size")
     age = lambda low, width: F.struct(low.cast("double").alias("young"), (low + width).cast("double").alias("old"))
     return part.select("p_partkey", quotes.agreement(F.when(n > 10, F.col("p_name")), F.when(n % 7 > 2, F.col("p_name")), ages.overlap(age(n % 20, 5), age(n % 11, 4))).alias("agreement"))
+
+
+@query(
+    """with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) as term from benchmark), d as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+')) as w from documents),
+    f as (select doc_id, count(*) as n, min(w) as first from d semi join t on w = term group by 1)
+    select doc_id, coalesce(n, 0)::bigint as n, first from documents left join f using (doc_id)""",
+    "documents",
+    "benchmark",
+)
+def term_counts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """How often terms of a table stand in whole texts, and the first of them by the table's order."""
+    listed = benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"), F.lit(1))).alias("term")).distinct()
+    table = listed.select("term", F.col("term").alias("name"), F.lit(0).alias("place"))
+    found = terms.found(documents.select("doc_id", "text"), "text", table, "found")
+    return found.select("doc_id", F.coalesce(F.size(terms.longest(F.col("found"))), F.lit(0)).cast("long").alias("n"), terms.first_name(F.col("found")).alias("first")).withColumn("n", F.greatest("n", F.lit(0).cast("long")))
