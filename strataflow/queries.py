@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions import rules
 from strataflow.operators import joins, surfaces, upsert, windows
-from strataflow.plans import gridded, labelled, modelled, overlaid, records, selected, shaped, space, stacks, surfaces_plan, texts  # noqa: F401  (each registers its queries)
+from strataflow.plans import chosen, gridded, labelled, modelled, overlaid, records, selected, shaped, space, stacks, surfaces_plan, texts  # noqa: F401  (each registers its queries)
 from strataflow.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
