@@ -2,9 +2,8 @@
 
 A place's cell is what lies nearer to it than to any point; each point's weight is the share of that cell which the point
 would hold without the place. Both are made from the K nearest points: the plane halved between the place and each point,
-then the cell halved between the points that touch it. The cell is sure once no farther point can reach it: as the
-distance of the farthest point asked for is at least twice that of the cell's corners, and the corners of its parts lie
-nearer to their points than farther ones can be. Places that are not sure ask for twice as many points in a next round,
+then the cell halved between the points whose half touches it, for no others hold a part of it. The cell is sure once no
+farther point can reach it: as the farthest point asked for is at least twice as far as the cell's corners. Places that are not sure ask for twice as many points in a next round,
 until all points are asked for. So every place is a small job of its own, and no triangulation of a surface is gathered.
 
 Places outside the hull of the points, or on it, have an open cell and no estimate, and ask for nothing; at a point the
@@ -57,18 +56,18 @@ def weights(q: np.ndarray, points: np.ndarray, whole: bool) -> tuple[np.ndarray
     place, points = np.zeros(2), points - q
     side = FAR * reach
     cell = np.array([[-side, -side], [side, -side], [side, side], [-side, side]])
-    for p in points:
+    corners = np.full(4, np.inf)
+    for p, d in zip(points, away, strict=True):  # by distance: from some point on none can reach the cell
+        if d > 2 * corners.max():
+            break
         cell = _nearer(cell, place, p)
-    corners = np.hypot(*cell.T)
+        corners = np.hypot(*cell.T)
     if corners.max() >= side / 2:
         return None, whole
     if not whole and 2 * corners.max() > reach:
         return None, False
-    # Points whose half does not touch the cell hold nothing of it.
-    touching = [i for i, p in enumerate(points) if np.abs((cell - p / 2) @ p).min() <= 1e-9 * (p @ p)]
-    inside = np.hypot(*(cell[:, None, :] - points[None, :, :]).transpose(2, 0, 1)).min(1)
-    near = [i for i in range(len(points)) if i in set(touching) or away[i] <= 2 * corners.max() + float(inside.max())]
-    shares, sure = np.zeros(len(points)), True
+    shares = np.zeros(len(points))
+    near = [i for i, p in enumerate(points) if away[i] <= 2.1 * corners.max() and np.abs((cell - p / 2) @ p).min() <= 1e-9 * away[i] * max(away[i], corners.max())]
     for i in near:
         part = cell
         for j in near:
@@ -78,10 +77,8 @@ def weights(q: np.ndarray, points: np.ndarray, whole: bool) -> tuple[np.ndarray
                     break
         if len(part) > 2:
             shares[i] = _area(part) / (points == points[i]).all(1).sum()
-            if not whole and (np.hypot(*(part - points[i]).T) + np.hypot(*part.T)).max() > reach:
-                sure = False
     total = shares.sum()
-    return (shares / total, sure) if total > 0 else (None, whole)
+    return (shares / total, True) if total > 0 else (None, whole)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
