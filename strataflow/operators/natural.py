@@ -67,7 +67,7 @@ def weights(q: np.ndarray, points: np.ndarray, whole: bool) -> tuple[np.ndarray
     if not whole and 2 * corners.max() > reach:
         return None, False
     shares = np.zeros(len(points))
-    near = [i for i, p in enumerate(points) if away[i] <= 2.1 * corners.max() and np.abs((cell - p / 2) @ p).min() <= 1e-9 * away[i] * max(away[i], corners.max())]
+    near = [i for i, p in enumerate(points) if away[i] <= 2.1 * corners.max() and np.abs((cell - p / 2) @ p).min() <= 1e-9 * away[i] * max(reach, corners.max())]
     for i in near:
         part = cell
         for j in near:
