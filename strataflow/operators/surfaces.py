@@ -69,6 +69,18 @@ def error_stats(error: Column, variance: Column | None = None) -> list[Column]:
     return made if variance is None else [*made, F.avg(F.when(variance > 0, error * error / variance)).alias("msse")]
 
 
+def method_table(errors: DataFrame, key: str, method: str, error: str, first: str | None = None, margin: float = 0.1) -> DataFrame:
+    """key, method, n, rmse, mae, bias and chosen of the errors that methods make without each point. The method with the
+    smallest rmse is chosen (of equal ones the first by name); `first` stays unless that is better by more than the margin.
+    Null errors count for nothing; methods without errors have no row."""
+    stats = errors.where(F.col(error).isNotNull()).groupBy(key, method).agg(*error_stats(F.col(error)))
+    mark = F.struct("rmse", F.col(method).alias("m"))
+    best = stats.groupBy(F.col(key).alias("__k")).agg(F.min(mark).alias("__b"), F.min(F.when(F.col(method) == first, F.col("rmse"))).alias("__first"))
+    stays = F.coalesce(F.col("__first") <= (1 + margin) * F.col("__b.rmse"), F.lit(False))
+    winner = F.when(stays, F.lit(first)).otherwise(F.col("__b.m"))
+    return stats.join(best, F.col(key).eqNullSafe(F.col("__k"))).select(key, method, "n", "rmse", "mae", "bias", (F.col(method) == winner).alias("chosen"))
+
+
 def legend_counts(df: DataFrame, column: str, classes: DataFrame, unknown: str = "Unknown") -> DataFrame:
     """class, place and n of the classes (class, place) that occur, by place; values of no class, and nulls, count as
     the unknown class, where there is one."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions import rules
-from strataflow.operators import geostat, surfaces
+from strataflow.operators import geostat, nearest, surfaces
 from strataflow.plans.space import _POINTS, points
 from strataflow.registry import query
 
@@ -76,6 +76,28 @@ def method_choice(embeddings: DataFrame) -> DataFrame:
     return idw.join(mean, "label").select("label", F.round("idw", 6).alias("idw"), F.round("mean", 6).alias("mean"), chosen.alias("chosen"))
 
 
+@query(
+    f"""with p as ({_POINTS}), i as (select a.vec_id, sum(b.z / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / sum(1 / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as est from p a join p b on a.label = b.label and a.vec_id <> b.vec_id group by 1),
+    n as (select a.vec_id, arg_min(b.z, struct_pack(d := (a.x - b.x) ** 2 + (a.y - b.y) ** 2, i := b.vec_id)) as est from p a join p b on a.label = b.label and a.vec_id <> b.vec_id group by 1),
+    m as (select label, avg(z) as mz, count(*) as n from p group by 1),
+    e as (select label, 'idw' as method, z - est as e from p join i using (vec_id) union all select label, 'nearest', z - est from p join n using (vec_id) union all select label, 'mean', (z - mz) * n / (n - 1) from p join m using (label)),
+    t as (select label, method, count(*) as n, sqrt(avg(e * e)) as rmse, avg(abs(e)) as mae, avg(e) as bias from e group by 1, 2),
+    w as (select label, case when min(rmse) filter (where method = 'idw') <= 1.1 * min(rmse) then 'idw' else arg_min(method, struct_pack(r := rmse, m := method)) end as winner from t group by 1)
+    select label, method, n, round(rmse, 6) as rmse, round(mae, 6) as mae, round(bias, 6) as bias, method = winner as chosen from t join w using (label)""",
+    "embeddings",
+)
+def method_table(embeddings: DataFrame) -> DataFrame:
+    """Errors without each point of inverse distances, of the nearest point and of the mean, and which is chosen."""
+    p = points(embeddings)
+    error = lambda made, method: p.join(made, "vec_id").select("label", F.lit(method).alias("method"), (F.col("z") - F.col("estimate")).alias("e"))
+    close = nearest.k_nearest(p, p, 1, "vec_id", "label", "x", "y", "vec_id", others=True, carried=("z",)).select("vec_id", F.col("z").alias("estimate"))
+    means = p.groupBy("label").agg(F.avg("z").alias("mz"), F.count("*").alias("n"))
+    mean = p.join(means, "label").where("n > 1").select("label", F.lit("mean").alias("method"), ((F.col("z") - F.col("mz")) * F.col("n") / (F.col("n") - 1)).alias("e"))
+    errors = error(surfaces.idw_loo(p, "vec_id", "label", "x", "y", "z"), "idw").union(error(close, "nearest")).union(mean)
+    found = surfaces.method_table(errors, "label", "method", "e", "idw")
+    return found.select("label", "method", "n", *(F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")), "chosen")
+
+
 @query(
     """with f as (select user_id, event_type, min(struct_pack(ts := ts, i := event_id)) as t from events group by all)
     select a.event_type as a, b.event_type as b, count(*) as n from f a join f b on a.user_id = b.user_id and a.event_type <> b.event_type and a.t < b.t group by all""",
