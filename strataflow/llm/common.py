@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +87,31 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20, most_r
         yield batch.slice(start)
 
 
+#: Each byte with A-Z in lower case.
+LOWER = bytes(range(256)).lower()
+
+
+def split_words(texts: pa.Array, gaps: bytes) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order (binary, A-Z in lower case) and how many each text has (null: none). gaps: the bytes
+    that belong to no word."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""
+    offsets = offsets - offsets[0]
+    within = np.frombuffer(data.translate(bytes(b not in gaps for b in range(256))), bool)
+    first, last = within.copy(), within.copy()
+    first[1:] &= ~within[:-1]
+    last[:-1] &= ~within[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]  # words end where texts do
+    first[edges], last[edges - 1] = within[edges], within[edges - 1]
+    starts = np.flatnonzero(first)
+    ends = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=ends[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data.translate(LOWER, gaps))])
+    return words, np.diff(np.searchsorted(starts, offsets))
+
+
 def with_made_column(df: DataFrame, new: str, ddl: str, column: str, each: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """df and a column made from another one in Arrow batches."""
 

@@ -22,16 +22,16 @@ Repeated rows count and are scored each; an empty table gives no rows; texts are
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import discard, materialise, slices
+from strataflow.llm.common import discard, materialise, slices, split_words
 
 LEAST_COUNT = 4
 DISCOUNT, THRESHOLD = 0.75, 8.0
@@ -42,8 +42,9 @@ DEPTH = 3
 RARE, END, START, FIRST = 0, 1, 2, 3
 #: In columns of contexts: no symbol there, or none before the class of rare words; a context's total in place of a symbol.
 NONE, TOTAL = -1, -2
-#: Different keys that a task counts before it hands them on, and tokens that it deals at once.
-HELD, DEALT = 400_000, 1_000_000
+#: Bytes of words that a task counts before it hands their counts on, bytes and texts that it encodes at once, and tokens
+#: that it deals at once.
+HELD, ENCODED, TEXTS, DEALT = 24 << 20, 8 << 20, 4096, 1_000_000
 #: Words that are broadcast with their numbers; tokens a bucket should hold, and the fewest buckets.
 HEAD, BUCKET, BUCKETS = 200_000, 700_000, 128
 #: Hot pairs are told from one in so many texts; that decides where tokens go, not what is counted.
@@ -56,29 +57,30 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def words(text: str | None) -> list[bytes]:
-    """Bytes that are no ASCII white space, with A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Bytes between words.
+SPACE = b" \t\n\v\f\r"
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """word (empty for the end) and c over all rows of text. Each task counts in runs of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size, ends = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            made = [pa.array(list(counts.keys()), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
+            counts = pa.chunked_array(held, pa.binary()).value_counts()
+            made = [pa.concat_arrays([counts.field("values"), pa.array([b""])]).cast(pa.string()), pa.concat_arrays([counts.field("counts"), pa.array([ends], pa.int64())])]
             return pa.RecordBatch.from_arrays(made, names=["word", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                counts[b""] += part.num_rows
-                for t in part.column("text").to_pylist():
-                    counts.update(words(t))
-                if len(counts) > HELD:
+                found, _ = split_words(part.column("text"), SPACE)
+                held.append(found)
+                size += found.nbytes
+                ends += part.num_rows
+                if size > HELD:
                     yield out()
-                    counts = Counter()
+                    held, size, ends = [], 0, 0
         yield out()
 
     return rows.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
@@ -115,36 +117,34 @@ def encoded(docs: DataFrame, vocabulary: DataFrame, total: float, end: float) ->
     held_out, n and ids (packed, one symbol per token). Words out of the broadcast head are numbered for each text, and
     meet their counts in a join."""
     head = vocabulary.where(F.col("symbol").between(FIRST, FIRST + HEAD - 1)).toArrow()
-    places = {w.encode(): i + 1 for i, w in enumerate(head.column("word").to_pylist())}
     logs = np.log10((head.column("c").to_numpy() + SMOOTHING) / total)
-    shared = docs.sparkSession.sparkContext.broadcast((places, head.column("symbol").to_numpy().astype(np.int32), logs))
+    shared = docs.sparkSession.sparkContext.broadcast((head.column("word").combine_chunks().cast(pa.binary()), head.column("symbol").to_numpy().astype(np.int32), logs))
     end_log = float(np.log10((end + SMOOTHING) / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, symbols, logs = shared.value
-        get = places.get
+        frequent, symbols, logs = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                flat, sizes, base, tail, times, tail_ends = [], [], [], [], [], [0]
-                for t in part.column("text").to_pylist():
-                    w = words(t)
-                    at = [get(x, 0) for x in w]
-                    if 0 in at:
-                        c = Counter(x for x, i in zip(w, at, strict=True) if not i)
-                        number = {x: -1 - k for k, x in enumerate(c)}
-                        at = [i or number[x] for x, i in zip(w, at, strict=True)]
-                        tail += c.keys()
-                        times += c.values()
-                    tail_ends.append(len(tail))
-                    ids = np.array([*at, 0], np.int32)
-                    known = ids > 0
-                    places_of = ids[known] - 1
-                    ids[known] = symbols[places_of]
-                    ids[-1] = END
-                    base.append(float(logs[places_of].sum()) + end_log)
-                    flat.append(pack(ids))
-                    sizes.append(len(ids))
-                structs = pa.StructArray.from_arrays([pa.array(tail, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+            for part in slices(batch, "text", ENCODED, TEXTS):
+                found, sizes = split_words(part.column("text"), SPACE)
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                at = pc.index_in(found, value_set=frequent).fill_null(-1).to_numpy(zero_copy_only=False)
+                known = at >= 0
+                ids = np.empty(len(found), np.int32)
+                ids[known] = symbols[at[known]]
+                base = np.bincount(text[known], logs[at[known]], len(sizes)) + end_log
+                others = np.flatnonzero(~known)
+                coded = found.take(pa.array(others)).dictionary_encode()
+                kinds = max(1, len(coded.dictionary))
+                keys, place, times = np.unique(text[others] * kinds + coded.indices.to_numpy(), return_inverse=True, return_counts=True)
+                tail_ends = np.searchsorted(keys // kinds, np.arange(len(sizes) + 1))
+                ids[others] = (tail_ends[keys // kinds] - np.arange(len(keys)) - 1)[place]
+                tail = coded.dictionary.take(pa.array(keys % kinds))
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                whole = np.full(len(found) + len(sizes), END, np.int32)
+                whole[np.arange(len(found)) + text] = ids
+                flat = [pack(whole[end - size : end]) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                structs = pa.StructArray.from_arrays([tail.cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
                 made = [pa.array(sizes, pa.int32()), pa.array(flat, pa.binary()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), structs)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], names=["doc_id", "held_out", "n", "ids", "base", "tail"])
 
@@ -231,6 +231,20 @@ def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Tokens]:
         yield joined()
 
 
+def in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of rows of symbols (NONE may stand in all but the first column) in ascending order: each column is sorted
+    with the rank of those before it as one number."""
+    rank, order = columns[0], np.argsort(columns[0]) if len(columns) == 1 else None
+    for k, column in enumerate(columns[1:], 2):
+        keys = (rank << 32) + (column + 1)
+        order = np.argsort(keys)
+        if k < len(columns):
+            keys = keys[order]
+            rank = np.zeros(len(keys), np.int64)
+            rank[order[1:]] = np.cumsum(keys[1:] != keys[:-1])
+    return order
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of wanted keys among sorted ones, and which of them are there."""
     if not len(keys):
@@ -279,14 +293,19 @@ def counted(symbols: DataFrame, buckets: Buckets, levels: range) -> DataFrame:
                 u = t.where(t.context[k - 1] != NONE)
                 if not len(u.symbol):
                     continue
-                none = np.full(len(u.symbol), NONE)
-                columns = [*u.context[:k], *[none] * (DEPTH - k)]
-                for last in (u.symbol, np.full(len(u.symbol), TOTAL)):
-                    order = np.lexsort((last, *columns))
-                    rows = np.stack([c[order] for c in (*columns, last)])
-                    first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)]))
-                    n = np.diff(np.append(first, rows.shape[1]))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(r[first].astype(np.int32)) for r in rows), pa.array(n.astype(np.int64))], names=[*COLUMNS, "symbol", "n"])
+                order = in_order([*u.context[:k], u.symbol])
+                rows = [c[order] for c in (*u.context[:k], u.symbol)]
+                new = np.zeros(len(order), bool)
+                new[0] = True
+                made = []
+                for j, c in enumerate(rows):
+                    new[1:] |= c[1:] != c[:-1]
+                    if j >= k - 1:  # first the contexts, then with their symbols
+                        first = np.flatnonzero(new)
+                        none = np.full(len(first), NONE)
+                        made.append(([*(r[first] for r in rows[:k]), *[none] * (DEPTH - k), c[first] if j == k else none + (TOTAL - NONE)], np.diff(np.append(first, len(order)))))
+                for columns, n in made:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(n.astype(np.int64))], names=[*COLUMNS, "symbol", "n"])
 
     schema = ", ".join(f"{c} int" for c in (*COLUMNS, "symbol")) + ", n bigint"
     return symbols.mapInArrow(run, schema).groupBy(*COLUMNS, "symbol").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
@@ -417,10 +436,15 @@ def scored(symbols: DataFrame, root: Root, totals: dict[int, int], tokens: int,
             # Order within a bucket only serves compression.
             order = np.argsort((bucket << 48) + ((t.context[0] & 0xFFFFFF) << 24) + (t.context[1 % DEPTH] & 0xFFFFFF))
             cut = np.searchsorted(bucket[order], np.arange(n + 1))
+            new = np.append(True, t.row[1:] != t.row[:-1])  # tokens of a text are neighbours
+            texts, held, number = t.row[new], t.held[new], (np.cumsum(new) - 1)[order]
+            columns = [c[order] for c in (*t.context, t.symbol)]
+            place = np.empty(len(texts), np.int64)
             for b in np.flatnonzero(np.diff(cut)):
-                u = t.where(order[cut[b] : cut[b + 1]])
-                rows, first, at = np.unique(u.row, return_index=True, return_inverse=True)
-                made = [len(u.symbol), rows.tobytes(), u.held[first].tobytes(), *map(pack, (at, *u.context, u.symbol))]
+                some = slice(cut[b], cut[b + 1])
+                own = np.unique(number[some])
+                place[own] = np.arange(len(own))
+                made = [int(cut[b + 1] - cut[b]), texts[own].tobytes(), held[own].tobytes(), *map(pack, (place[number[some]], *(c[some] for c in columns)))]
                 yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array(made[:1], pa.int32()), *(pa.array([x], pa.binary()) for x in made[1:])], names=["bucket", *names])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +468,7 @@ def scored(symbols: DataFrame, root: Root, totals: dict[int, int], tokens: int,
             at, *context, symbol = (unpack(m[c], m["n"]) for c in ("at", *COLUMNS, "symbol"))
             parts.append(Tokens(np.frombuffer(m["rows"], np.int64)[at], np.frombuffer(m["held"], bool)[at], context, symbol))
         t = Tokens(np.concatenate([p.row for p in parts]), np.concatenate([p.held for p in parts]), [np.concatenate(c) for c in zip(*(p.context for p in parts), strict=True)], np.concatenate([p.symbol for p in parts]))
-        t = t.where(np.lexsort(t.context[::-1]))
+        t = t.where(in_order(t.context))
         known = np.stack([given.column(c).to_numpy().astype(np.int64) for c in (*COLUMNS, "symbol", "n")], 1) if given.num_rows else np.empty((0, DEPTH + 2), np.int64)
         logs = over_root(t, known, buckets, root, threshold)
         rows, at = np.unique(t.row, return_inverse=True)

@@ -9,11 +9,14 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
 from strataflow.llm import bpe, chat, html, ordinal, quality, secrets, suffix_tree, trigrams
+from strataflow.llm.common import split_words
 from tests.llm.util import frame
 
 ODD = [None, "", " \n\t ", "é ü 日本 \U0001f600 it's 12³ \x85 \x1c x", "a" * 100_000, "De " * 5000, "same text here", "same text here", "line one\nline one\n\nx\n x", "A-Z  \r\n  mixed\x0bcase "]
@@ -358,3 +361,23 @@ def test_html_texts_change_without_the_ratios(spark, monkeypatch):
     monkeypatch.setattr(html, "SHARE", -1e9)
     monkeypatch.setattr(html, "LINKED", 2.0)
     assert with_ratios == " ".join(long.split()) != html.extract(page)
+
+
+def test_words_are_split_in_whole_batches():
+    r = random.Random(3)
+    texts = [None, "", " ", "a", *("".join(r.choices([*"aBZ \t\n\v\f\r\x00\x1c\x85", "É", "日", "\U0001f600"], k=r.randrange(9))) for _ in range(500))]
+    for rows in (texts, [], [None], ["ab", "cd"]):
+        found, sizes = split_words(pa.array(["left out", *rows], pa.string()).slice(1), suffix_tree.SPACE)
+        want = [(t or "").encode().lower().split() for t in rows]
+        assert found.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+
+
+def test_contexts_are_sorted_by_ranks():
+    r = np.random.default_rng(4)
+    columns = [r.integers(1, 50, 3000), r.integers(-1, 5, 3000), r.integers(-1, 3, 3000)]
+    for width in (1, 2, 3):
+        order = suffix_tree.in_order(columns[:width])
+        assert sorted(order.tolist()) == list(range(3000))
+        keys = list(zip(*(c[order].tolist() for c in columns[:width]), strict=True))
+        assert keys == sorted(keys)
+    assert suffix_tree.in_order([c[:0] for c in columns]).tolist() == []
