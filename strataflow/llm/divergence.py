@@ -23,19 +23,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialise, small_enough
+from strataflow.llm.common import materialise, slices, small_enough, split_words
 
 LEAST_DOCUMENTS, SMOOTH, SCALE, RANKS = 30, 5, 1_000_000_000, 50
-#: Different (lang, source, term) that a task holds before it hands them on; bytes of text that are split at once.
-HELD, PIECE = 50_000, 1 << 20
+#: Bytes of terms that a task holds before it hands their counts on, rows that it hands on at once; bytes of a part over
+#: which it is split by pieces, and those of a piece.
+HELD, ROWS, LONG, PIECE = 16 << 20, 10_000, 8 << 20, 1 << 20
 #: Rows of groups up to which they are broadcast.
 MOST_GROUPS = 20_000
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _OTHER = re.compile(rb"[^A-Za-z\x80-\xff]")
+#: Bytes between terms.
+GAPS = bytes(b for b in range(128) if not chr(b).isalpha())
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -48,39 +52,60 @@ def pieces(text: bytes) -> Iterator[bytes]:
         start = end
 
 
+def _added(words: list[pa.Array], texts: list[np.ndarray], groups: list[np.ndarray]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Group, term, occurrences and texts of each term in each group. words: of all texts in order; texts: how many words
+    each has; groups: the group of each text."""
+    coded = pa.chunked_array(words, pa.binary()).combine_chunks().dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    sizes, of = np.concatenate(texts), np.concatenate(groups)
+    keys, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(), return_counts=True)
+    keys = of[keys // kinds] * kinds + keys % kinds
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    return keys[first] // kinds, coded.dictionary.take(pa.array(keys[first] % kinds)), n, np.diff(np.append(first, len(keys)))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by group, added up over many documents."""
-    sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    held = 0
+    names = ["lang", "source", "term", "n", "d"]
+    number: dict[tuple[str, str], int] = {}
+    words, texts, groups, size = [], [], [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, d) in sums.items():
-            terms = list(n)
-            for at in range(0, len(terms), 10_000):
-                some = terms[at : at + 10_000]
-                size = len(some)
-                columns = [pa.array([lang] * size), pa.array([source] * size), pa.array([t.decode() for t in some], pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([d[t] for t in some], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "d"])
-        sums.clear()
+        group, term, n, d = _added(words, texts, groups)
+        langs, sources = (pa.array([g[i] for g in number], pa.string()) for i in range(2))
+        at = pa.array(group)
+        made = pa.RecordBatch.from_arrays([langs.take(at), sources.take(at), term.cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=names)
+        yield from (made.slice(k, ROWS) for k in range(0, made.num_rows, ROWS))
+        for held in (number, words, texts, groups):
+            held.clear()
 
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-            n, d = sums.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-            before, raw = len(n), text.as_py().encode()
-            if len(raw) <= PIECE:
-                found = Counter(_TERM.findall(raw.lower()))
-            else:
-                found = Counter()
-                for piece in pieces(raw):
-                    found.update(_TERM.findall(piece.lower()))
-            for t, k in found.items():
-                n[t] += k
-            d.update(found.keys())
-            held += len(n) - before
-            if held >= HELD:
+        for part in slices(batch, "text"):
+            lang, source = (part.column(i).to_pylist() for i in range(2))
+            if part.column("text").nbytes > LONG:  # a text of its own: counted by pieces
+                for i, text in enumerate(part.column("text")):
+                    found: Counter = Counter()
+                    for piece in pieces(text.as_buffer().to_pybytes()):
+                        found.update(_TERM.findall(piece.lower()))
+                    terms = list(found)
+                    for k in range(0, len(terms), ROWS):
+                        some = terms[k : k + ROWS]
+                        made = [pa.array([lang[i]] * len(some)), pa.array([source[i]] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([found[t] for t in some], pa.int64()), pa.array([1] * len(some), pa.int64())]
+                        yield pa.RecordBatch.from_arrays(made, names=names)
+                continue
+            found_words, sizes = split_words(part.column("text"), GAPS)
+            words.append(found_words)
+            texts.append(sizes)
+            groups.append(np.array([number.setdefault(g, len(number)) for g in zip(lang, source, strict=True)], np.int64))
+            size += found_words.nbytes + 16 * part.num_rows
+            if size > HELD:
                 yield from out()
-                held = 0
-    yield from out()
+                size = 0
+    if words:
+        yield from out()
 
 
 def counts(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strataflow.llm import divergence
@@ -63,3 +64,32 @@ def test_pieces_end_between_terms():
     parts = list(divergence.pieces(text))
     assert b"".join(parts) == text and len(parts) > 2
     assert Counter(t for x in parts for t in divergence._TERM.findall(x)) == Counter(divergence._TERM.findall(text))
+
+
+def batch(rows):
+    return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(("lang", "source", "text"))})
+
+
+def test_a_task_adds_up_many_different_terms():
+    letters = "abcdefghijklmnopqrst"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters[:8])
+    got = list(divergence._counted(iter([batch([("en", "s", text)] * 3)])))
+    assert sum(x.num_rows for x in got) == 64_000  # each term once, not once a text
+    assert {(n, d) for x in got for n, d in zip(x["n"].to_pylist(), x["d"].to_pylist(), strict=True)} == {(3, 3)}
+
+
+def test_counts_are_the_same_held_or_handed_on(monkeypatch):
+    made = [(x or "", y or "", t or "") for _, t, x, y, *_ in rows()]
+    want: dict = defaultdict(Counter)
+    for lang, source, t in made:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        for term, k in Counter(terms).items():
+            want[lang, source, term].update(n=k, d=1)
+    for held, long in ((16 << 20, 8 << 20), (500, 8 << 20), (16 << 20, 100)):
+        monkeypatch.setattr(divergence, "HELD", held)
+        monkeypatch.setattr(divergence, "LONG", long)
+        got: dict = defaultdict(Counter)
+        for x in divergence._counted(iter([batch(made[:200]), batch(made[200:]), batch([])])):
+            for r in x.to_pylist():
+                got[r["lang"], r["source"], r["term"]].update(n=r["n"], d=r["d"])
+        assert got == want
