@@ -48,19 +48,64 @@ def trend(df: DataFrame, key: str, x: str, y: str, z: str, drift: str = "linear"
     return joined.withColumn("residual", F.col(z) - F.col("fitted")).select(*df.columns, "fitted", "residual")
 
 
-def idw_loo(points: DataFrame, name: str, key: str, x: str, y: str, z: str) -> DataFrame:
+class _Weights:
+    """Sums of inverse squares of distances from a block's points to those that pass by in the order of their names."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.names, self.known = rows.column("__name"), blocks.Names(rows.column("__name"))
+        self.x, self.y = (rows.column(c).to_numpy() for c in ("__x", "__y"))
+        n = rows.num_rows
+        self.met, self.sum, self.weight, self.exact = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+        self.other: list = [None] * n
+
+    def meet(self, others: pa.RecordBatch, own: bool) -> None:
+        names = others.column("__name")
+        x, y, z = (others.column(c).to_numpy() for c in ("__x", "__y", "__z"))
+        equal = self.known.among(names)
+        self.met += len(x) - np.bincount(equal[0], minlength=len(self.x))
+        whole = bool(np.isfinite(z).all())
+        with np.errstate(all="ignore"):
+            for rows, columns, same in blocks.tiles(len(self.x), len(x), equal):
+                d, v = self.x[rows, None] - x[None, columns], self.y[rows, None] - y[None, columns]
+                d *= d
+                v *= v
+                d += v
+                d[same] = np.inf
+                if d.min() < SAME * SAME or np.isnan(d).any():
+                    near = d < SAME * SAME
+                    for i in np.flatnonzero(near.any(1)).tolist():
+                        if self.other[rows.start + i] is None:
+                            j = columns.start + int(near[i].argmax())
+                            self.other[rows.start + i], self.exact[rows.start + i] = names[j].as_py(), z[j]
+                    d[near] = np.inf
+                    same = np.concatenate([same[0], np.nonzero(near)[0]]), np.concatenate([same[1], np.nonzero(near)[1]])
+                np.divide(1, d, out=d)
+                self.weight[rows] += d.sum(1)
+                if whole:
+                    self.sum[rows] += np.einsum("ij,j->i", d, z[columns])
+                else:  # no weight of 0 makes 0 of these values
+                    d *= z[None, columns]
+                    d[same] = 0
+                    self.sum[rows] += d.sum(1)
+
+    def rows(self) -> pa.RecordBatch:
+        names = self.names.combine_chunks()
+        other = pa.array(self.other, names.type)
+        columns = [names, other, pa.array(self.exact, mask=~other.is_valid().to_numpy(zero_copy_only=False)), pa.array(self.sum), pa.array(self.weight)]
+        return pa.RecordBatch.from_arrays(columns, names=["__name", "__other", "__exact", "__sum", "__weight"]).filter(pa.array(self.met > 0))
+
+
+def idw_loo(points: DataFrame, name: str, key: str, x: str, y: str, z: str, size: int = blocks.HELD) -> DataFrame:
     """name and estimate: the inverse-square-distance mean of the key's other points; at a point that coincides with
     another one, the value of that one (of the first by name). Points without others, or with a null, have no row.
-    Pairs of blocks of points are summed before the shuffle."""
-    d2 = F.pow(F.col(f"a.{x}") - F.col(f"b.{x}"), 2) + F.pow(F.col(f"a.{y}") - F.col(f"b.{y}"), 2)
-    side = lambda i, o: F.struct(F.col(f"{i}.{name}").alias("i"), F.col(f"{o}.{name}").alias("other"), F.col(f"{o}.{z}").cast("double").alias("z"))
+    Sums are made while the key's points pass by a block of them, so pairs are never rows."""
     whole = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
-    pairs = blocks.pairs(whole, key, name, {"__d2": d2, "__s": F.array(side("a", "b"), side("b", "a"))})
-    rows = pairs.select("__d2", F.explode("__s").alias("s")).select("__d2", F.col("s.i").alias(name), F.col("s.other").alias("__other"), F.col("s.z").alias("__z"))
-    far = F.col("__d2") >= SAME * SAME
-    exact = F.min(F.when(~far, F.struct("__other", "__z")))["__z"]
-    mean = F.sum(F.when(far, F.col("__z") / F.col("__d2"))) / F.sum(F.when(far, 1 / F.col("__d2")))
-    return rows.groupBy(name).agg(F.coalesce(exact, mean).alias("estimate"))
+    whole = whole.select(F.col(key).alias("__at"), F.col(name).alias("__i"), *(F.col(c).cast("double").alias(f"__{a}") for c, a in ((x, "x"), (y, "y"), (z, "z"))))
+    kind = points.schema[name].dataType.simpleString()
+    sums = blocks.against(whole, "__at", "__i", ["__x", "__y", "__z"], _Weights, f"__name {kind}, __other {kind}, __exact double, __sum double, __weight double", size=size)
+    # Rows that share a name are one point in many places.
+    exact = F.min(F.when(F.col("__other").isNotNull(), F.struct("__other", "__exact")))["__exact"]
+    return sums.groupBy(F.col("__name").alias(name)).agg(F.coalesce(exact, F.try_divide(F.sum("__sum"), F.sum("__weight"))).alias("estimate"))
 
 
 def error_stats(error: Column, variance: Column | None = None) -> list[Column]:
