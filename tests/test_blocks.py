@@ -6,6 +6,7 @@ import random
 import pytest
 
 from strataflow.operators import surfaces
+from strataflow.queries import QUERIES
 
 
 def most_rows(df):
@@ -49,3 +50,9 @@ def test_weights_of_blocks_of_any_size(spark, size):
     assert got.keys() == want.keys() and "lone" not in got
     for i, value in want.items():
         assert got[i] == pytest.approx(value) or math.isnan(got[i]) and math.isnan(value), i
+
+
+@pytest.mark.parametrize("name", ["idw_loo", "method_choice"])
+def test_queries_of_all_pairs_make_no_rows_of_them(spark, name):
+    found = QUERIES[name](spark, "/root/testdata/sf0.01")  # 500 points, some 25,000 pairs of one surface's points
+    assert most_rows(found) <= 5 * 500
