@@ -49,7 +49,8 @@ def trend(df: DataFrame, key: str, x: str, y: str, z: str, drift: str = "linear"
 
 
 class _Weights:
-    """Sums of inverse squares of distances from a block's points to those that pass by in the order of their names."""
+    """Sums of inverse squares of distances from a block's points to those that pass by in the order of their names, and
+    the nearest of them."""
 
     def __init__(self, rows: pa.Table) -> None:
         self.names, self.known = rows.column("__name"), blocks.Names(rows.column("__name"))
@@ -57,13 +58,14 @@ class _Weights:
         n = rows.num_rows
         self.met, self.sum, self.weight, self.exact = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
         self.other: list = [None] * n
+        self.least, self.near, self.closest = np.full(n, np.inf), np.zeros(n), np.full(n, None, object)
 
     def meet(self, others: pa.RecordBatch, own: bool) -> None:
         names = others.column("__name")
         x, y, z = (others.column(c).to_numpy() for c in ("__x", "__y", "__z"))
         equal = self.known.among(names)
         self.met += len(x) - np.bincount(equal[0], minlength=len(self.x))
-        whole = bool(np.isfinite(z).all())
+        whole, better = bool(np.isfinite(z).all()), np.full(len(self.x), -1)
         with np.errstate(all="ignore"):
             for rows, columns, same in blocks.tiles(len(self.x), len(x), equal):
                 d, v = self.x[rows, None] - x[None, columns], self.y[rows, None] - y[None, columns]
@@ -71,7 +73,14 @@ class _Weights:
                 v *= v
                 d += v
                 d[same] = np.inf
-                if d.min() < SAME * SAME or np.isnan(d).any():
+                at = d.argmin(1)
+                low = d[np.arange(len(d)), at]
+                if np.isnan(low).any():
+                    at = np.where(np.isnan(d), np.inf, d).argmin(1)
+                    low = d[np.arange(len(d)), at]
+                nearer = np.flatnonzero(low < self.least[rows]) + rows.start
+                self.least[nearer], better[nearer] = low[nearer - rows.start], at[nearer - rows.start] + columns.start
+                if (low < SAME * SAME).any():
                     near = d < SAME * SAME
                     for i in np.flatnonzero(near.any(1)).tolist():
                         if self.other[rows.start + i] is None:
@@ -87,25 +96,36 @@ class _Weights:
                     d *= z[None, columns]
                     d[same] = 0
                     self.sum[rows] += d.sum(1)
+        found = np.flatnonzero(better >= 0)
+        self.near[found] = z[better[found]]
+        self.closest[found] = names.take(pa.array(better[found])).to_pylist()
 
     def rows(self) -> pa.RecordBatch:
         names = self.names.combine_chunks()
         other = pa.array(self.other, names.type)
         columns = [names, other, pa.array(self.exact, mask=~other.is_valid().to_numpy(zero_copy_only=False)), pa.array(self.sum), pa.array(self.weight)]
-        return pa.RecordBatch.from_arrays(columns, names=["__name", "__other", "__exact", "__sum", "__weight"]).filter(pa.array(self.met > 0))
+        columns += [pa.array(self.least), pa.array(self.closest.tolist(), names.type), pa.array(self.near, mask=~np.isfinite(self.least))]
+        return pa.RecordBatch.from_arrays(columns, names=["__name", "__other", "__exact", "__sum", "__weight", "__least", "__closest", "__near"]).filter(pa.array(self.met > 0))
 
 
-def idw_loo(points: DataFrame, name: str, key: str, x: str, y: str, z: str, size: int = blocks.HELD) -> DataFrame:
-    """name and estimate: the inverse-square-distance mean of the key's other points; at a point that coincides with
-    another one, the value of that one (of the first by name). Points without others, or with a null, have no row.
-    Sums are made while the key's points pass by a block of them, so pairs are never rows."""
+def loo(points: DataFrame, name: str, key: str, x: str, y: str, z: str, size: int = blocks.HELD) -> DataFrame:
+    """name, estimate and nearest. estimate: the inverse-square-distance mean of the key's other points; at a point that
+    coincides with another one, the value of that one (of the first by name). nearest: the value of the nearest other
+    point (of equal distances the first by name; null where no distance is a number). Points without others, or with a
+    null, have no row. Both are made while the key's points pass by a block of them, so pairs are never rows."""
     whole = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     whole = whole.select(F.col(key).alias("__at"), F.col(name).alias("__i"), *(F.col(c).cast("double").alias(f"__{a}") for c, a in ((x, "x"), (y, "y"), (z, "z"))))
     kind = points.schema[name].dataType.simpleString()
-    sums = blocks.against(whole, "__at", "__i", ["__x", "__y", "__z"], _Weights, f"__name {kind}, __other {kind}, __exact double, __sum double, __weight double", size=size)
+    sums = blocks.against(whole, "__at", "__i", ["__x", "__y", "__z"], _Weights, f"__name {kind}, __other {kind}, __exact double, __sum double, __weight double, __least double, __closest {kind}, __near double", size=size)
     # Rows that share a name are one point in many places.
     exact = F.min(F.when(F.col("__other").isNotNull(), F.struct("__other", "__exact")))["__exact"]
-    return sums.groupBy(F.col("__name").alias(name)).agg(F.coalesce(exact, F.try_divide(F.sum("__sum"), F.sum("__weight"))).alias("estimate"))
+    nearest = F.min(F.when(F.col("__closest").isNotNull(), F.struct("__least", "__closest", "__near")))["__near"]
+    return sums.groupBy(F.col("__name").alias(name)).agg(F.coalesce(exact, F.try_divide(F.sum("__sum"), F.sum("__weight"))).alias("estimate"), nearest.alias("nearest"))
+
+
+def idw_loo(points: DataFrame, name: str, key: str, x: str, y: str, z: str, size: int = blocks.HELD) -> DataFrame:
+    """name and estimate of `loo`."""
+    return loo(points, name, key, x, y, z, size).select(name, "estimate")
 
 
 def error_stats(error: Column, variance: Column | None = None) -> list[Column]:

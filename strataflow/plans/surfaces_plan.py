@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions import rules
-from strataflow.operators import geostat, nearest, surfaces
+from strataflow.operators import geostat, surfaces
 from strataflow.plans.space import _POINTS, points
 from strataflow.registry import query
 
@@ -89,12 +89,11 @@ def method_choice(embeddings: DataFrame) -> DataFrame:
 def method_table(embeddings: DataFrame) -> DataFrame:
     """Errors without each point of inverse distances, of the nearest point and of the mean, and which is chosen."""
     p = points(embeddings)
-    error = lambda made, method: p.join(made, "vec_id").select("label", F.lit(method).alias("method"), (F.col("z") - F.col("estimate")).alias("e"))
-    close = nearest.k_nearest(p, p, 1, "vec_id", "label", "x", "y", "vec_id", others=True, carried=("z",)).select("vec_id", F.col("z").alias("estimate"))
+    error = lambda method, estimate: F.struct(F.lit(method).alias("method"), (F.col("z") - F.col(estimate)).alias("e"))
+    near = p.join(surfaces.loo(p, "vec_id", "label", "x", "y", "z"), "vec_id").select("label", F.inline(F.array(error("idw", "estimate"), error("nearest", "nearest"))))
     means = p.groupBy("label").agg(F.avg("z").alias("mz"), F.count("*").alias("n"))
     mean = p.join(means, "label").where("n > 1").select("label", F.lit("mean").alias("method"), ((F.col("z") - F.col("mz")) * F.col("n") / (F.col("n") - 1)).alias("e"))
-    errors = error(surfaces.idw_loo(p, "vec_id", "label", "x", "y", "z"), "idw").union(error(close, "nearest")).union(mean)
-    found = surfaces.method_table(errors, "label", "method", "e", "idw")
+    found = surfaces.method_table(near.union(mean), "label", "method", "e", "idw")
     return found.select("label", "method", "n", *(F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")), "chosen")
 
 

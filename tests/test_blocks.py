@@ -39,20 +39,22 @@ def test_weights_of_blocks_of_any_size(spark, size):
     rows = [(f"n{i:03}", r.choice([1.0, 2.0, float("nan")]), round(r.random(), 1), round(r.random(), 1), r.random()) for i in range(300)]
     rows += [("lone", 9.0, 0.0, 0.0, 1.0), (None, 1.0, 0.0, 0.0, 1.0), ("null", 1.0, None, 0.0, 1.0), ("n000", 1.0, 5.0, 5.0, 2.0), ("odd", 2.0, 3.0, 3.0, float("inf"))]
     df = spark.createDataFrame(rows, "i string, k double, x double, y double, z double")
-    got = {g.i: g.estimate for g in surfaces.idw_loo(df, "i", "k", "x", "y", "z", size).collect()}
+    made = surfaces.loo(df, "i", "k", "x", "y", "z", size).collect()
+    got, nearest = ({g.i: g[c] for g in made} for c in ("estimate", "nearest"))
     there = [p for p in rows if p[0] is not None and p[2] is not None]
     want = {}
     for i in {p[0] for p in there}:
         rest = [((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2, q[0], q[4]) for p in there if p[0] == i for q in there if q[0] != i and (q[1] == p[1] or q[1] != q[1] and p[1] != p[1])]
         same = [q[1:] for q in rest if q[0] < 1e-18]
         if rest:
+            assert nearest[i] == min(rest)[2], i
             want[i] = min(same)[1] if same else sum(z / d for d, _, z in rest) / sum(1 / d for d, _, _ in rest)
     assert got.keys() == want.keys() and "lone" not in got
     for i, value in want.items():
         assert got[i] == pytest.approx(value) or math.isnan(got[i]) and math.isnan(value), i
 
 
-@pytest.mark.parametrize("name", ["idw_loo", "method_choice"])
+@pytest.mark.parametrize("name", ["idw_loo", "method_choice", "method_table"])
 def test_queries_of_all_pairs_make_no_rows_of_them(spark, name):
     found = QUERIES[name](spark, "/root/testdata/sf0.01")  # 500 points, some 25,000 pairs of one surface's points
     assert most_rows(found) <= 5 * 500
