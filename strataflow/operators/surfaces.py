@@ -60,7 +60,7 @@ class _Weights:
         self.other: list = [None] * n
         self.least, self.near, self.closest = np.full(n, np.inf), np.zeros(n), np.full(n, None, object)
 
-    def meet(self, others: pa.RecordBatch, own: bool) -> None:
+    def meet(self, others: pa.RecordBatch, own: np.ndarray) -> None:
         names = others.column("__name")
         x, y, z = (others.column(c).to_numpy() for c in ("__x", "__y", "__z"))
         equal = self.known.among(names)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from strataflow.operators import surfaces
+from strataflow.operators import blocks, spatial, surfaces
 from strataflow.queries import QUERIES
 
 
@@ -58,3 +58,29 @@ def test_weights_of_blocks_of_any_size(spark, size):
 def test_queries_of_all_pairs_make_no_rows_of_them(spark, name):
     found = QUERIES[name](spark, "/root/testdata/sf0.01")  # 500 points, some 25,000 pairs of one surface's points
     assert most_rows(found) <= 5 * 500
+
+
+@pytest.mark.parametrize("held", [5, 8192])
+def test_overlays_against_all_pairs(spark, monkeypatch, held):
+    monkeypatch.setattr(blocks, "HELD", held)
+    r = random.Random(3)
+    rows = [(i, r.choice("abc"), round(r.uniform(-1, 1), 1), round(r.uniform(-1, 1), 1), r.choice([0.05, 0.2, 0.2, 0.7, 1.6])) for i in range(150)]
+    rows += [(3, "b", 0.0, 0.0, 0.2), (3, "c", 0.5, 0.5, 0.7), (500, None, 0.0, 0.0, 0.2), (501, "a", None, 0.0, 0.2), (502, "a", float("nan"), 0.0, 0.2), (503, "a", 9.0, 9.0, 0.2), (504, "b", 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, k string, w double, s double, d double").selectExpr("i", "k", "w", "s", "w + d as e", "s + d as n")
+    got = {g.i: (g.n, g.sources, round(g.covered, 9), list(g.top)) for g in spatial.overlays(df, "i", "k", ("w", "s", "e", "n"), 0.2).collect()}
+    boxes, want = [tuple(b) for b in df.collect() if b.k is not None and b.w is not None], {}
+    for i in {b[0] for b in boxes}:
+        shares = []
+        for _, k, w, s, e, n in (b for b in boxes if b[0] == i and b[4] > b[2]):
+            for j, m, p, q, u, v in boxes:
+                if k != m and w < u and p < e and s < v and q < n and (min(e, u) - max(w, p)) * (min(n, v) - max(s, q)) / ((e - w) * (n - s)) > 0.01:
+                    shares.append(((min(e, u) - max(w, p)) * (min(n, v) - max(s, q)) / ((e - w) * (n - s)), j, m))
+        if shares:
+            best = sorted((-round(s, 9), j) for s, j, _ in shares)[:5]
+            want[i] = (len(shares), len({m for *_, m in shares}), round(sum(s for s, *_ in shares), 9), [j for _, j in best])
+    assert {3, 0} <= got.keys() and got == want
+
+
+def test_overlays_of_crowded_boxes_make_no_rows_of_pairs(spark):
+    found = QUERIES["box_overlay"](spark, "/root/testdata/sf0.1")  # 2,000 boxes, some 100,000 pairs
+    assert most_rows(found) <= 20 * 2000
