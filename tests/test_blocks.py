@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from strataflow.operators import blocks, spatial, surfaces
+from strataflow.operators import blocks, geostat, spatial, surfaces
 from strataflow.queries import QUERIES
 
 
@@ -84,3 +84,23 @@ def test_overlays_against_all_pairs(spark, monkeypatch, held):
 def test_overlays_of_crowded_boxes_make_no_rows_of_pairs(spark):
     found = QUERIES["box_overlay"](spark, "/root/testdata/sf0.1")  # 2,000 boxes, some 100,000 pairs
     assert most_rows(found) <= 20 * 2000
+
+
+def test_lags_make_no_rows_of_pairs(spark):
+    r = random.Random(9)
+    rows = [(i, f"k{i % 2}", r.choice([round(r.random(), 1), r.random()]), r.random(), r.random()) for i in range(600)]
+    rows += [(7, "k1", 0.5, 0.5, 0.5), (None, "k1", 0.1, 0.1, 0.1), (900, None, 0.1, 0.1, 0.1), (901, "k0", 0.1, None, 0.1), (902, "k0", 0.1, 0.1, None), (903, "one", 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, k string, x double, y double, z double")
+    want = {}
+    for k in ("k0", "k1"):
+        own = [p for p in rows if p[1] == k and None not in p]
+        pairs = [(math.dist(p[2:4], q[2:4]), 0.5 * (p[4] - q[4]) ** 2) for n, p in enumerate(own) for q in own[:n] if p[0] != q[0]]
+        most = max(math.dist(p[2:4], q[2:4]) for p in own for q in own) / 2
+        for b in range(12):
+            inside = [(d, g) for d, g in pairs if 0 < d <= most and min(int(d / (most / 12)), 11) == b]
+            want[k, b] = (len(inside), sum(d for d, _ in inside) / len(inside), sum(g for _, g in inside) / len(inside))
+    for size in (30, 8192):
+        found = geostat.lags(df, "k", "i", "x", "y", "z", size=size)
+        got = {(g.k, g.bin): (g.n, g.lag, g.gamma) for g in found.collect()}
+        assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b]) for b in want)
+    assert most_rows(found) <= 4 * len(rows)

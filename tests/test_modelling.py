@@ -1,7 +1,10 @@
 import math
 import random
 
-from strataflow.operators import modelling
+import pytest
+from pyspark.sql import functions as F
+
+from strataflow.operators import geostat, kriging, modelling
 
 
 def test_direction_of_a_field(spark):
@@ -23,3 +26,20 @@ def test_contact_points(spark):
     got = sorted(map(tuple, modelling.contact_points(holes, intervals, "hole", "unit", "top").collect()))
     assert got == [("clay", 0.0, 0.0, 95.0), ("land surface", 0.0, 0.0, 100.0), ("land surface", 1.0, 0.0, 50.0)]
     assert modelling.contact_points(holes, intervals.where("false"), "hole", "unit", "top").count() == 2
+
+
+def test_direction_of_a_field_of_many_points(spark):
+    """Surfaces beyond what one matrix holds: kriged from the nearest points, as without() does."""
+    rng = random.Random(6)
+    rows = [("s", i, x := rng.uniform(0, 10), y := rng.uniform(0, 10), math.sin((x - y) * 0.9)) for i in range(260)]
+    df = spark.createDataFrame(rows, "k string, i int, x double, y double, z double")
+    (got,) = modelling.anisotropy(df, "k", "i", "x", "y", "z", (0, 45, 90, 135), (1.0, 4.0), most=100).collect()
+    assert (got.azimuth, got.ratio) == (45.0, 4.0)
+    u, v = modelling.stretched(F.col("x"), F.col("y"), F.lit(45.0), F.lit(4.0))
+    flat = df.select("k", "i", u.alias("u"), v.alias("v"), "z")
+    models = geostat.fits(geostat.lags(flat, "k", "i", "u", "v", "z"), "k")
+    want = {r.i: (r.error, r.variance) for r in kriging.without(flat, models, "i", "k", "u", "v", "z").collect()}
+    for size in (40, 8192):
+        found = {r.i: (r.error, r.variance) for r in kriging.passed(flat, models, "i", "k", "u", "v", "z", size=size).collect()}
+        assert found.keys() == want.keys() and all(found[i] == pytest.approx(want[i], rel=1e-6, abs=1e-9) for i in want)
+    assert got.rmse == pytest.approx(math.sqrt(sum(e * e for e, _ in want.values()) / len(want)), rel=1e-6)
